@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from marginalia.llm import host_rules, mixing
+from marginalia.llm import host_rules, mixing, token_counts, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op3_host_rules": host_rules.op3_host_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLE_SQL = {
