@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from marginalia.llm import host_rules, mixing, token_counts, token_files
+from marginalia.llm import chat, host_rules, mixing, token_counts, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_warc": warc.op2_warc,
     "op3_host_rules": host_rules.op3_host_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op6_chat": chat.op6_chat,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op3_host_rules": host_rules.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op6_chat": chat.OP6_SQL,
 }
