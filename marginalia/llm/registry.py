@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import chat, decontaminate, host_rules, line_spread, mixing, pseudonyms, token_counts, token_files, warc
+from marginalia.llm import chat, decontaminate, host_rules, line_spread, mixing, near_dups, pseudonyms, token_counts, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_line_spread": line_spread.op8_line_spread,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_near_dups": near_dups.op10_near_dups,
 }
 
 ORACLE_SQL = {
