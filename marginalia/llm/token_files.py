@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import scratch, table, with_small, written
 from marginalia.llm.pfor import BLOCK, Reader, Writer
-from marginalia.llm.pieces import Pieces, encode_texts, shared, slices, words
+from marginalia.llm.pieces import Pieces, encode_words, shared, text_slices
 from marginalia.llm.store import create
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 FILE_BYTES = 16 << 20
 MANIFEST = "path string, part long, nth long, n_docs long, n_ids long"
+#: Bytes of text worked on at once.
+SLICE = 2 << 20
 #: Ids decoded at once.
 DECODED = 4096 * BLOCK
 
@@ -46,12 +48,12 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, file_bytes: int):
         part, own, done, out = TaskContext.get().partitionId(), uuid.uuid4().hex, [], None
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for at, texts in slices(batch.column(1).cast(pa.binary()).to_pylist()):
+            for lo, texts in text_slices(batch.column(1), SLICE):
                 if out is None:
                     path = f"{folder}/{part:06d}-{len(done):04d}-{own}.pfor"
                     out = Writer(create(path))
-                ids, counts = _append_end(*encode_texts(table, words, texts), end_id)
-                out.add([doc_ids[i] for i in at], counts, ids)
+                ids, counts = _append_end(*encode_words(table, texts), end_id)
+                out.add(doc_ids[lo : lo + len(texts)], counts, ids)
                 if out.at >= file_bytes:
                     done.append((path, part, len(done), *out.close()))
                     out = None
