@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from marginalia.llm import chat, decontaminate, host_rules, line_spread, mixing, near_dups, pseudonyms, token_counts, token_files, warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_line_spread": line_spread.op8_line_spread,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_near_dups": near_dups.op10_near_dups,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
