@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.common import table, with_small, written
+from marginalia.llm.workers import release
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 RESULT = [*(x.split()[0] for x in FEATURES.split(", ")), "base_failed", "kept"]
@@ -64,7 +65,9 @@ def _features(texts: pa.Array) -> pa.Array:
     # what is not in a word is one byte and one code point each
     word_chars = [c - (s - w) for c, s, w in zip(chars, sizes, word_bytes)]
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (n, word_chars, *rest)], names=names)
+    out = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (n, word_chars, *rest)], names=names)
+    release()
+    return out
 
 
 #: Column function from a text to a struct of FEATURES.

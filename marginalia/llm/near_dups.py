@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import table, written
 from marginalia.llm.shingles import MinHash, intersection, set_key, shingle_sets
+from marginalia.llm.workers import lean
 
 TREES, DEPTH, MIN_DEPTH, AGREE = 14, 12, 2, 6
 LEAF, NEAR, HUBS = 16, 2, 4
@@ -37,7 +38,7 @@ GROUP = 20_000
 
 def _signatures(batches):
     minhash = MinHash(TREES * DEPTH)
-    for batch in batches:
+    for batch in lean(batches):
         raw = batch.column(2).cast(pa.binary()).to_pylist()
         nodes, sizes, sketches = [], [], []
         for hashes in shingle_sets([x or b"" for x in raw]):
@@ -113,7 +114,7 @@ def _forest(batches):
             yield pa.RecordBatch.from_arrays([pa.array(list(map(min, left, right)), pa.binary()), pa.array(list(map(max, left, right)), pa.binary())], ["a", "b"])
 
     tree = None
-    for batch in batches:
+    for batch in lean(batches):
         for t, key, node in zip(*(c.to_pylist() for c in batch.columns)):
             if t != tree and held:
                 yield from pairs()
@@ -150,7 +151,7 @@ def _confirm(pct: int):
             both = intersection(x, y) if len(x) <= len(y) else intersection(y, x)
             return 100 * both >= pct * (len(x) + len(y) - both)
 
-        for batch in batches:
+        for batch in lean(batches):
             for g, is_pair, a, b, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4).cast(pa.binary()).to_pylist()):
                 if g != group:
                     group, sets, parent = g, {}, {}

@@ -25,15 +25,6 @@ _MARKS = (b".", b",", b";", b":", b"!", b"?")
 SLICE = 1 << 20
 
 _TOKENIZERS: dict = {}
-_TABLES: dict = {}
-
-
-def shared(key: str, make):
-    """The table of this worker process for a key; it outlives the task. One at a time."""
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = make()
-    return _TABLES[key]
 
 
 def tokenizer(path: str):

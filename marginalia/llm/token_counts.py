@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import table
-from marginalia.llm.pieces import Pieces, encode_texts, shared, slices, spaced
+from marginalia.llm.pieces import Pieces, encode_texts, slices, spaced
+from marginalia.llm.workers import lean, shared
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pre-tokens in the broadcast table, leaders each task reports, pre-tokens counted at once in a task, longest pre-token.
@@ -32,7 +33,7 @@ def _binary(col: pa.Array) -> pa.Array:
 
 def _leaders(batches):
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in lean(batches):
         for _, texts in slices(_binary(batch.column(0)).to_pylist()):
             counts.update(chain.from_iterable(map(spaced, texts)))
             if len(counts) > 2 * COUNTED:
@@ -53,7 +54,7 @@ def frequent(docs: DataFrame, text: str, path: str) -> tuple[list[bytes], list[i
 def _counter(path: str, known, key: str):
     def run(batches):
         pieces = shared(key, lambda: Pieces(path, known.value, ids=False))
-        for batch in batches:
+        for batch in lean(batches, tables=True):
             raw = _binary(batch.column(batch.num_columns - 1))
             counts: list[int] = []
             for _, texts in slices(raw.to_pylist()):

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import scratch, table, with_small, written
 from marginalia.llm.pfor import BLOCK, Reader, Writer
-from marginalia.llm.pieces import Pieces, encode_words, shared, text_slices
+from marginalia.llm.pieces import Pieces, encode_words, text_slices
 from marginalia.llm.store import create
+from marginalia.llm.workers import lean, shared
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 FILE_BYTES = 16 << 20
@@ -46,7 +47,7 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, file_bytes: int):
     def run(batches):
         table = shared(f"ids:{tokenizer}", lambda: Pieces(tokenizer, spell=as_is))
         part, own, done, out = TaskContext.get().partitionId(), uuid.uuid4().hex, [], None
-        for batch in batches:
+        for batch in lean(batches, tables=True):
             doc_ids = batch.column(0).to_pylist()
             for lo, texts in text_slices(batch.column(1), SLICE):
                 if out is None:
@@ -77,7 +78,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
 
 
 def _reader(batches):
-    for batch in batches:
+    for batch in lean(batches):
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             file = Reader(content.as_py())
             crcs, at = np.zeros(len(file.counts), np.int64), 0

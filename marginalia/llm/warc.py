@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import scratch, table, with_small, written
 from marginalia.llm.store import create
+from marginalia.llm.workers import lean
 
 FILE_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 0
@@ -87,7 +88,7 @@ def _transaction(page_id, url, html: bytes, mark: int, first_page, first_mark) -
 def _writer(folder: str, file_bytes: int):
     def run(batches):
         own, done, out, size, n = uuid.uuid4().hex, [], None, 0, 0
-        for batch in batches:
+        for batch in lean(batches):
             for page_id, url, html, mark, first_page, first_mark in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     path, size, n = f"{folder}/{own}-{len(done):04d}.warc.gz", 0, 0
@@ -186,7 +187,7 @@ def _reader(payloads: bool):
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows, size = [], 0
                 for at, headers, block in parse(content.as_py()):
