@@ -10,6 +10,10 @@
 3. Candidates that agree in at least AGREE minima of the tree are confirmed on the full sets of their texts, which meet
    in groups of bounded numbers of candidates.
 4. Confirmed links make components (labels sink to the smallest, with pointer jumping, until nothing changes).
+5. A second look takes the nodes that had candidates, with their components, through the forest again. In a region of
+   more than LEAF nodes, each node outside the region's largest component is compared with those WINDOW rows around it
+   that are of other components, and the BEST that share most minima are confirmed too. What a dense region has already
+   connected costs nothing more, and what it has left outside is searched far wider than in the first look.
 
 A range boundary of one tree can separate neighbours there; the other trees have their boundaries elsewhere.
 
@@ -30,7 +34,9 @@ from marginalia.llm.shingles import MinHash, intersection, set_key, shingle_sets
 from marginalia.llm.workers import lean
 
 TREES, DEPTH, MIN_DEPTH, AGREE = 14, 12, 2, 6
-LEAF, NEAR, HUBS = 16, 2, 4
+LEAF, NEAR, HUBS = 16, 1, 2
+#: In the second look: rows of the order around a node that are compared with it, and the best that become candidates.
+WINDOW, BEST = 1024, 6
 SIMILARITY_PCT = 85
 #: Candidates confirmed in one group.
 GROUP = 20_000
@@ -82,13 +88,30 @@ def _region_pairs(keys: np.ndarray, lo: int, hi: int, depth: int, last: int, fou
             stack += [(x, y, depth + 1, last) for x, y in zip(bounds, bounds[1:]) if y - x > 1]
 
 
-def region_candidates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of rows (first smaller) among rows of sorted minima, that agree in AGREE or more."""
+def _outside_pairs(keys: np.ndarray, labels: np.ndarray, lo: int, hi: int, found: list) -> None:
+    """Candidates of the rows lo to hi that are not of the label which most of them have."""
+    own, counts = np.unique(labels[lo:hi], return_counts=True)
+    for i in (np.flatnonzero(labels[lo:hi] != own[counts.argmax()]) + lo).tolist():
+        first = max(lo, min(i - WINDOW // 2, hi - WINDOW))
+        agreed = (keys[first : min(hi, first + WINDOW)] == keys[i]).sum(1)
+        agreed[labels[first : first + len(agreed)] == labels[i]] = 0
+        best = np.argpartition(-agreed, min(BEST, len(agreed) - 1))[:BEST]
+        best = best[agreed[best] >= AGREE] + first
+        if len(best):
+            found.append((np.full(len(best), i), best))
+
+
+def region_candidates(keys: np.ndarray, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of rows (first smaller) among rows of sorted minima, that agree in AGREE or more. With labels
+    (numbers of components), those of the second look."""
     found: list = []
     head = np.flatnonzero((np.diff(keys[:, :MIN_DEPTH].astype(np.int32), axis=0) != 0).any(1)) + 1
     bounds = [0, *head.tolist(), len(keys)]
     for lo, hi in zip(bounds, bounds[1:]):
-        if hi - lo > 1:
+        if labels is not None:
+            if hi - lo > LEAF:
+                _outside_pairs(keys, labels, lo, hi, found)
+        elif hi - lo > 1:
             _region_pairs(keys, lo, hi, MIN_DEPTH, 0, found)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -101,37 +124,42 @@ def region_candidates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def _forest(batches):
-    """Rows come in the order of tree and key; a tree's rows within this task are worked on together."""
-    held: list = []
-
-    def pairs():
-        keys = np.frombuffer(b"".join(k for k, _ in held), ">u2").astype(np.uint16).reshape(len(held), DEPTH)
-        nodes = [n for _, n in held]
-        a, b = region_candidates(keys)
-        for i in range(0, len(a), 50_000):
-            left, right = [nodes[x] for x in a[i : i + 50_000]], [nodes[x] for x in b[i : i + 50_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(min, left, right)), pa.binary()), pa.array(list(map(max, left, right)), pa.binary())], ["a", "b"])
+def _forest(again: bool):
+    def run(batches):
+        """Rows come in the order of tree and key; a tree's rows within this task are worked on together."""
+        held: list = []
+
+        def pairs():
+            keys = np.frombuffer(b"".join(x[0] for x in held), ">u2").astype(np.uint16).reshape(len(held), DEPTH)
+            numbers: dict = {}
+            labels = np.array([numbers.setdefault(x[2], len(numbers)) for x in held]) if again else None
+            nodes = [x[1] for x in held]
+            a, b = region_candidates(keys, labels)
+            for i in range(0, len(a), 50_000):
+                left, right = [nodes[x] for x in a[i : i + 50_000]], [nodes[x] for x in b[i : i + 50_000]]
+                yield _links(list(zip(map(min, left, right), map(max, left, right))))
+
+        tree = None
+        for batch in lean(batches):
+            for t, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != tree and held:
+                    yield from pairs()
+                    held.clear()
+                tree = t
+                held.append(row)
+        if held:
+            yield from pairs()
 
-    tree = None
-    for batch in lean(batches):
-        for t, key, node in zip(*(c.to_pylist() for c in batch.columns)):
-            if t != tree and held:
-                yield from pairs()
-                held.clear()
-            tree = t
-            held.append((key, node))
-    if held:
-        yield from pairs()
+    return run
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes. classes: node and sketch."""
-    width = 2 * DEPTH
+    """Distinct pairs a < b of nodes. classes: node and sketch; with a label too, the pairs of the second look."""
+    width, again = 2 * DEPTH, "label" in classes.columns
     keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substr("sketch", t * width + 1, F.lit(width)))
     order = ["tree", "key", "node"]
-    rows = classes.select(F.posexplode(keys).alias("tree", "key"), "node").repartitionByRange(*order).sortWithinPartitions(*order).select(*order)
-    return rows.mapInArrow(_forest, "a binary, b binary").distinct()
+    rows = classes.select(F.posexplode(keys).alias("tree", "key"), "node", *["label"] * again).repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.select(*order, *["label"] * again).mapInArrow(_forest(again), "a binary, b binary").distinct()
 
 
 def _confirm(pct: int):
@@ -223,6 +251,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(first, F.min("sketch").alias("sketch")), "classes")
     pairs = written(candidates(classes), "candidates")
     labels = components(written(confirmed(docs, classes, pairs, doc_id, text, pct), "links"))
+    near = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    near = written(near.join(classes, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "near")
+    pairs = written(candidates(near).join(pairs, ["a", "b"], "left_anti"), "candidates")
+    links = written(confirmed(docs, classes, pairs, doc_id, text, pct), "links")
+    # components of components: a link of the second look stands for its ends' labels
+    ends = near.select("node", "label")
+    links = links.join(ends.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(ends.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
+    wider = components(written(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links"))
+    labels = labels.unionByName(wider.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+    labels = labels.join(wider.select(F.col("node").alias("label"), F.col("label").alias("wider")), "label", "left").select("node", F.coalesce("wider", "label").alias("label"))
     owner = classes.select("node", F.col("first.doc_id").alias("own")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = owner.groupBy("label").agg(F.min("own").alias("component_id"))
     owner = written(owner.join(lowest, "label").select("node", "component_id"), "components")
