@@ -209,13 +209,12 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str
     """Links that connect what the pairs with a similarity of pct or more connect. classes: node, with the id and
     text hash of one row of it.
 
-    A pair goes to the group of its two nodes' smallest neighbours, which most pairs of a cluster share; a group of
+    A pair goes to the group of its first node's smallest neighbour, which most pairs of a cluster share; a group of
     more than GROUP pairs is cut into blocks by hashes of both nodes. A text goes once to each group it is needed in."""
     near = pairs.select(F.col("a").alias("node"), F.col("b").alias("n")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("n")))
     low = near.groupBy("node").agg(F.least("node", F.min("n")).alias("low"))
-    one, two = low.select(F.col("node").alias("a"), F.col("low").alias("la")), low.select(F.col("node").alias("b"), F.col("low").alias("lb"))
-    rows = pairs.join(one, "a").join(two, "b")
-    rows = written(rows.select("a", "b", F.xxhash64(F.least("la", "lb"), F.greatest("la", "lb")).alias("g")), "grouped")
+    rows = pairs.join(low.withColumnRenamed("node", "a"), "a")
+    rows = written(rows.select("a", "b", F.xxhash64("low").alias("g")), "grouped")
     large = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select(F.col("g").alias("lg"), F.ceil(F.sqrt(F.col("n") / GROUP)).cast("long").alias("cuts"))
     rows = rows.join(large, F.col("g") == F.col("lg"), "left")
     block = F.when(F.col("cuts").isNull(), F.col("g")).otherwise(F.xxhash64("g", F.pmod(F.xxhash64("a"), F.col("cuts")), F.pmod(F.xxhash64("b"), F.col("cuts"))))
