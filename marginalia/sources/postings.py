@@ -26,6 +26,8 @@ POSTINGS = "term string, field_id int, doc_id long, tf int, dl int, positions ar
 LENGTHS = "doc_id long, dls array<int>"
 MAX_FIELDS, MAX_TOKENS = 32, 65_535
 FORMAT = 1
+#: A table of fewer bytes for each core than this may have fewer splits than there are cores, and is dealt out first.
+SMALL_PER_CORE = 8 << 20
 
 
 class Postings:
@@ -68,6 +70,9 @@ class Scan(Postings):
                 raise SearchError(f'column "{f}" is no text column', "42804")
         self.fields, self.analyzer, self.store_positions = fields, analyzer, store_positions
         some = reduce(Column.__or__, [F.col(f).isNotNull() for f in fields])
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL_PER_CORE:
+            df = df.select(doc_id, *dict.fromkeys(f for f in fields if f != doc_id)).repartition(cores)
         self.docs = df.where(some).select(F.col(doc_id).cast("long").alias("doc_id"), *[F.col(f).alias(f"__f{i}") for i, f in enumerate(fields)])
 
     def _terms(self) -> DataFrame:
