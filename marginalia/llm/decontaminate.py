@@ -3,13 +3,15 @@
 Words are runs of letters and digits in lower case. Each mask fixes some offsets of a window and ignores the others;
 the hash of the fixed words at every position of every document meets the same hashes of the benchmark. A hit gives a
 diagonal (the offset between document and item), and up to FLANK words to either side of the window are compared on
-it: with at least MIN_WORDS words compared and 0.8 of them equal, the overlap stands, substitutions and all.
+it: with at least MIN_WORDS words compared and 0.8 of them equal, the overlap stands, substitutions and all. If they
+do not stand as a whole, as where the document has only part of an item, the best of their stretches of MIN_WORDS words
+or more with 0.8 equal does.
 
 The benchmark's hashes are broadcast in blocks of at most BLOCK_ROWS rows, so that the size of a broadcast is bounded
 whatever the size of the benchmark; documents are never shuffled for the search.
 
-Edge cases: null texts have no words; items shorter than a mask's window or than MIN_WORDS words match nothing; a
-null id is an id like any other; rows that repeat an id are searched each and reported together; an empty table on
+Edge cases: null texts have no words; items shorter than MIN_WORDS words count as a whole, and those shorter than the
+shortest mask's window, which are too few words to tell, match nothing; a null id is an id like any other; rows that repeat an id are searched each and reported together; an empty table on
 either side gives no overlaps.
 """
 
@@ -47,16 +49,31 @@ def _positions(tokens: Column) -> Column:
     return F.explode(F.when(F.size(tokens) >= shortest, F.sequence(F.lit(0), F.size(tokens) - shortest)))
 
 
+def _best_part(equal: Column, need: Column, min_similarity: float) -> Column:
+    """struct(matched, first, length) of the stretch with the most equal words of those with ``need`` words or more and
+    min_similarity of them equal, the shortest and then the first of several; null without one."""
+    sums = F.aggregate(equal, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+    def stretches(c: Column) -> Column:
+        last = F.size(c) - 1
+        ends = lambda a: F.transform(F.sequence(a + need, last), lambda z: F.struct((c[z] - c[a]).alias("m"), (a - z).alias("l"), (-a).alias("f")))
+        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), last - need), ends)), lambda x: x["m"] >= -min_similarity * x["l"])
+
+    best = F.array_max(F.transform(F.array(sums), stretches)[0])
+    made = lambda x: F.struct(x["m"].alias("matched"), (-x["f"]).alias("first"), (-x["l"]).alias("length"))
+    return F.transform(F.filter(F.array(best), lambda x: x.isNotNull()), made)[0]
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_key: list[Column], item_id: str = "item_id", doc_text: str = "text", item_text: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """The columns doc_key with item_id, start and length (words) of the compared stretch in the document,
     and matched words: every stretch found, once for each hit."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(item_text).alias("item")).where(F.size("item") >= MIN_WORDS)
+    items = benchmark.select(F.col(item_id).alias("item_id"), words(item_text).alias("item"))
     seeds = items.select("item_id", "item", _positions(F.col("item")).alias("q"))
     seeds = seeds.select("item_id", "item", "q", F.posexplode(_hashes(F.col("item"), F.col("q"))).alias("mask", "hash")).where("hash IS NOT NULL")
     # of the item, a hit needs only the words around its window
     lo = F.greatest(F.col("q") - FLANK, F.lit(0))
     hi = F.least(F.size("item"), F.col("q") + F.element_at(F.array(*[F.lit(len(m)) for m in MASKS]), F.col("mask") + 1) + FLANK)
-    seeds = written(seeds.select("hash", "item_id", (F.col("q") - lo).alias("back"), F.slice("item", lo + 1, hi - lo).alias("item")), "seeds")
+    seeds = written(seeds.select("hash", "item_id", (F.col("q") - lo).alias("back"), F.least(F.size("item"), F.lit(MIN_WORDS)).alias("need"), F.slice("item", lo + 1, hi - lo).alias("item")), "seeds")
     blocks = max(1, -(-seeds.count() // BLOCK_ROWS))
     rows = docs.select(*[k.alias(f"__k{i}") for i, k in enumerate(doc_key)], words(doc_text).alias("__w"))
     rows = rows.select("*", _positions(F.col("__w")).alias("__p"))
@@ -69,13 +86,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_key: list[Column], item_
         # words of the stretch that lie before the document's first or after its last are not compared
         skip = F.greatest(-start, F.lit(0)).cast("int")
         n = F.least(F.size("item"), F.size("__w") - start).cast("int") - skip
-        hits = hits.select(*rows.columns[: len(doc_key)], "item_id", (start + skip).alias("start"), n.alias("length"), F.slice("__w", start + skip + 1, n).alias("a"), F.slice("item", skip + 1, n).alias("b"))
+        hits = hits.select(*rows.columns[: len(doc_key)], "item_id", (start + skip).alias("start"), n.alias("length"), "need", F.slice("__w", start + skip + 1, n).alias("a"), F.slice("item", skip + 1, n).alias("b"))
         # written, so that the comparison is not pulled into the join, where it would end the generated code and
         # make a row with all words of the document for every position
-        found.append(written(hits.where(F.col("length") >= MIN_WORDS), "hits"))
-    matched = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    out = reduce(DataFrame.unionByName, found).withColumn("matched", matched).drop("a", "b")
-    return out.where((F.col("length") >= MIN_WORDS) & (F.col("matched") >= min_similarity * F.col("length")))
+        found.append(written(hits.where(F.col("length") >= F.col("need")), "hits"))
+    equal = F.zip_with("a", "b", lambda x, y: (x == y).cast("int"))
+    out = reduce(DataFrame.unionByName, found).withColumn("equal", equal).drop("a", "b")
+    out = out.withColumn("matched", F.aggregate("equal", F.lit(0), lambda s, x: s + x))
+    whole = F.col("matched") >= min_similarity * F.col("length")
+    # no stretch within has more equal words than the whole
+    part = F.when(~whole & (F.col("matched") >= min_similarity * F.col("need")), _best_part(F.col("equal"), F.col("need"), min_similarity))
+    out = out.withColumn("part", part).where(whole | F.col("part").isNotNull())
+    at = {"start": F.col("start") + F.coalesce(F.col("part.first"), F.lit(0)), "length": F.coalesce(F.col("part.length"), "length"), "matched": F.coalesce(F.col("part.matched"), "matched")}
+    return out.withColumns(at).drop("equal", "part", "need")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:

@@ -208,6 +208,22 @@ def test_decontamination_tolerates_substitutions(spark):
             decontaminate.BLOCK_ROWS = kept
 
 
+def test_decontamination_finds_parts_of_items(spark):
+    item = [f"item{i}" for i in range(60)]
+    other = lambda at, n: [f"other{at}x{i}" for i in range(n)]
+    parts = [(at, n) for n in (12, 13, 16, 19) for at in range(0, 61 - n)]
+    rows = [(100 * n + at, " ".join([*other(at, 20), *item[at : at + n], *other(at + 100, 20)])) for at, n in parts]
+    gap = [*item[20:25], "else", *item[26:30], "other", *item[31:34]]
+    rows += [(1, " ".join([*other(1, 20), *gap, *other(2, 20)])), (2, " ".join([*other(1, 20), *gap[:9], "third", *gap[10:12], "fourth", *other(2, 20)])), (3, "as short b0 b1 b2 b3 b4 b5 b6 b7 b8 b9 as that"), (4, "as short b0 b1 b2 b3 b4 b5 b6")]
+    bench = spark.createDataFrame([(5, " ".join(item)), (6, " ".join(f"b{i}" for i in range(10)))], "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.item_id, r.matched, r.length) for r in decontaminate.contamination(df, bench).collect()}
+    # shorter runs too make 0.8 of 13 words with what is compared around them; only verbatim runs of 13 or more are certain
+    assert {d: m for d, (_, *m) in got.items() if d >= 1300} == {100 * n + at: [n, n] for at, n in parts if n >= 13}
+    assert got[1] == (5, 12, 14) and got[3] == (6, 10, 10) and not {2, 4} & set(got)
+    assert not set(got) & {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()}
+
+
 def test_line_spread(docs):
     rows, df = docs
     sites = defaultdict(set)
