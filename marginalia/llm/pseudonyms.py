@@ -5,7 +5,10 @@ is. A value becomes a list of components, each with a modulus; an alternating Fe
 one half to the other half modulo those, which permutes the values of a format among themselves. So equal values get
 equal pseudonyms in all documents, different values different ones, and only the key's owner can reverse them.
 
-  card   13 to 19 digits with a valid check digit; the check digit is made anew
+  card   13 to 19 digits with a valid check digit; the check digit is made anew. A card may begin and end at any border of
+         digit groups within a longer run of digits, such as one with an expiry date or a number beside it; of those that
+         overlap, the usual groupings come first, then the longer, then the earlier. What a run has besides cards is
+         looked through for the other kinds
   phone  +1 (NXX) NXX-XXXX and its usual spellings; area and exchange keep a first digit of 2 to 9
   ssn    AAA-GG-SSSS with valid groups
   ip     four octets
@@ -36,16 +39,25 @@ FULL = {
     "phone": r"(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
-_ANY = "|".join(
+#: Groups of digits, none beside a letter; possessive, so that a run of any length needs no stack.
+RUN = r"\d++(?!\w)(?:[ -]\d++(?!\w))*+"
+#: For each group of a run, what of 13 to 19 digits begins there and ends with a group, as long as can be; else empty.
+_FROM = r"(?<!\d)(?=(" + FULL["card"] + r"(?!\d))?)\d++"
+_USUAL = r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+#: Stands for a card that was found in a run; a run has no letters.
+_HELD = "C"
+_PATTERNS = (
     [
         r"(?<![A-Za-z0-9._%+-])" + FULL["email"],
         r"(?<![\w.])" + FULL["ip"] + r"(?![\w]|\.\d)",
         r"(?<!\w)(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2})(?!\w)",
         r"(?<![\w-])" + FULL["ssn"] + r"(?![\w-])",
         r"(?<![\w+])" + FULL["phone"] + r"(?!\w)",
-        r"(?<!\w)" + FULL["card"] + r"(?!\w)",
+        r"(?<!\w)(?=\d(?:[ -]?\d){12})" + RUN,
     ]
 )
+_ANY = "|".join(_PATTERNS)
+_IN_RUN = "|".join([_HELD, *_PATTERNS[:-1]])
 KINDS = tuple(FULL)
 
 
@@ -85,15 +97,39 @@ def _refill(value: Column, wanted: str, chars: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(one(i).rlike(f"[{wanted}]"), F.element_at(chars, F.greatest(nth(i), F.lit(1)))).otherwise(one(i))), "")
 
 
+def _payload(v: Column) -> Column:
+    return _digits(F.regexp_replace(F.substr(v, F.lit(1), F.length(v) - 1), "[ -]", ""))
+
+
+def _valid_card(v: Column) -> Column:
+    return _check_digit(_payload(v)) == F.right(v, F.lit(1)).cast("int")
+
+
 def _card(v: Column, key: str) -> Column:
-    digits = F.regexp_replace(v, "[ -]", "")
-    payload = _digits(F.substr(digits, F.lit(1), F.length(digits) - 1))
+    payload = _payload(v)
 
     def made(p):
         return F.concat(p, F.array(_check_digit(p))).cast("array<string>")
 
     new = _let(feistel(payload, F.transform(payload, lambda _: F.lit(10)), "card", key), made)
-    return F.when(_check_digit(payload) == F.substr(digits, F.length(digits), F.lit(1)).cast("int"), _let(new, lambda n: _refill(v, "0-9", n)))
+    return F.when(_valid_card(v), _let(new, lambda n: _refill(v, "0-9", n)))
+
+
+def _cards_of_run(run: Column) -> Column:
+    """Array of struct(first, last, value) in order: the cards in a run of digits, with the groups they take."""
+
+    def starting(window: Column, first: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(13), F.greatest(F.length(window), F.lit(13))), lambda n: ~F.substr(window, n, F.lit(2)).rlike(r"^(?:\d\d|[ -])"))
+        tried = F.transform(ends, lambda n: F.substr(window, F.lit(1), n))
+        good = F.filter(tried, lambda v: (F.length(v) >= 13) & (F.length(F.regexp_replace(v, "[ -]", "")) >= 13) & _valid_card(v))
+        made = F.transform(good, lambda v: F.struct((~v.rlike(_USUAL)).alias("unusual"), (-F.length(v)).alias("less"), first.alias("first"), (first + F.size(F.split(v, "[ -]")) - 1).alias("last"), v.alias("value")))
+        return made
+
+    found = F.array_sort(F.flatten(F.transform(F.regexp_extract_all(run, F.lit(_FROM), 1), starting)))
+    taken = lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["value"].alias("value"))
+    none = F.array().cast("array<struct<first:int,last:int,value:string>>")
+    free = lambda acc, x: F.forall(acc, lambda y: (x["last"] < y["first"]) | (x["first"] > y["last"]))
+    return F.array_sort(F.aggregate(found, none, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(taken(x)))).otherwise(acc)))
 
 
 def _phone(v: Column, key: str) -> Column:
@@ -155,7 +191,39 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     for kind in reversed(KINDS):
         new = _let(_MADE[kind](value, key), _named(kind))
         tried = F.when(value.rlike(f"^(?:{FULL[kind]})$"), new).otherwise(tried)
-    return F.coalesce(tried, F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value")))
+    return F.coalesce(tried, _plain(value))
+
+
+def _plain(value: Column) -> Column:
+    return F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value"))
+
+
+def _part(value: Column, plain: bool) -> Column:
+    return F.struct(value.alias("value"), F.lit(plain).alias("plain"))
+
+
+def _parts_of_run(run: Column) -> Column:
+    """Array of struct(value, plain) that together are the run: candidates, and between them what is none."""
+
+    def masked(b: Column) -> Column:
+        def shown(group: Column, i: Column) -> Column:
+            at = F.filter(b["cards"], lambda c: i.between(c["first"], c["last"]))
+            after = F.coalesce(F.get(b["marks"], i), F.lit(""))
+            return F.when(F.size(at) == 0, F.concat(group, after)).when(at[0]["last"] == i, F.concat(F.lit(_HELD), after)).otherwise("")
+
+        held = F.array_join(F.transform(F.split(run, "[ -]"), shown), "")
+        return _let(F.struct(held.alias("held"), b["cards"]["value"].alias("cards")), split_up)
+
+    def split_up(b: Column) -> Column:
+        found = F.struct(F.split(b["held"], _IN_RUN, -1).alias("gaps"), F.regexp_extract_all(b["held"], F.lit(_IN_RUN), 0).alias("found"), b["cards"].alias("cards"))
+        return _let(found, alternating)
+
+    def alternating(b: Column) -> Column:
+        before = lambda i: F.size(F.filter(F.slice(b["found"], F.lit(1), i), lambda x: x == _HELD))
+        parts = F.transform(b["found"], lambda v, i: F.array(_part(F.get(b["gaps"], i), True), _part(F.when(v == _HELD, F.get(b["cards"], before(i))).otherwise(v), False)))
+        return F.concat(F.flatten(parts), F.array(_part(F.element_at(b["gaps"], -1), True)))
+
+    return _let(F.struct(_cards_of_run(run).alias("cards"), F.regexp_extract_all(run, F.lit("[ -]"), 0).alias("marks")), masked)
 
 
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
@@ -164,11 +232,13 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     rows = docs.drop(*[c for c in docs.columns if c in counts])
     names = rows.columns
     rows = rows.withColumn("__found", F.when(F.col(text).rlike(_ANY), F.regexp_extract_all(F.col(text), F.lit(_ANY), 0)).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("__new", F.transform(F.coalesce("__found", F.array().cast("array<string>")), lambda v: pseudonym(v, key)))
-    joined = F.array_join(F.transform(F.split(F.col(text), _ANY, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col("__new"), i)["value"], F.lit("")))), "")
+    parts = lambda v: F.when(v.rlike(f"^{RUN}$") & v.rlike("(?:[0-9][ -]?){13}"), _parts_of_run(v)).otherwise(F.array(_part(v, False)))
+    made = lambda x: F.when(x["plain"], _plain(x["value"])).otherwise(pseudonym(x["value"], key))
+    rows = rows.withColumn("__new", F.transform(F.coalesce("__found", F.array().cast("array<string>")), lambda v: F.transform(parts(v), made)))
+    joined = F.array_join(F.transform(F.split(F.col(text), _ANY, -1), lambda gap, i: F.concat(gap, F.coalesce(F.array_join(F.get(F.col("__new"), i)["value"], ""), F.lit("")))), "")
     shown = F.when(F.size("__new") > 0, joined).otherwise(F.col(text)).alias(text)
-    of = lambda k: F.size(F.filter("__new", lambda x: x["kind"] == F.lit(k))).cast("long").alias(f"n_{k}")
-    total = F.size(F.filter("__new", lambda x: x["kind"].isNotNull())).cast("long").alias("n_values")
+    of = lambda k: F.size(F.filter(F.flatten("__new"), lambda x: x["kind"] == F.lit(k))).cast("long").alias(f"n_{k}")
+    total = F.size(F.filter(F.flatten("__new"), lambda x: x["kind"].isNotNull())).cast("long").alias("n_values")
     return rows.select(*[shown if c == text else c for c in names], *[of(k) for k in sorted(KINDS)], total)
 
 

@@ -282,6 +282,17 @@ def test_pseudonyms(spark):
     assert len(set(made)) == 2000 and all(re.fullmatch(r"(18|19|20|21)\d\d-\d\d-\d\d", x) for x in made)
 
 
+def test_cards_beside_other_numbers(spark):
+    card, other = "4111 1111 1111 1111", "5500 0000 0000 0004"
+    texts = [card, f"{card} 12/27", f"{card} 123", f"no 12 {card}", f"123456 {card}", f"12 {card} 2024-05-06", f"7 {card} {other} 99", f"{card} 12a", "1 " * 5000 + card, "12 2000 0000 0000 000", "4111-1111-1111-1111-12"]
+    rows = [(r.text, r.n_card, r.n_date, r.n_values) for r in pseudonyms.pseudonymize(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id int, text string")).orderBy("doc_id").collect()]
+    new = rows[0][0]
+    assert new != card and [r[0] for r in rows[:5]] == [x.replace(card, new) for x in texts[:5]] and all(r[1:] == (1, 0, 1) for r in rows[:5])
+    assert re.fullmatch(rf"12 {new} \d{{4}}-\d\d-\d\d", rows[5][0]) and rows[5][1:] == (1, 1, 2) and rows[5][0] != texts[5].replace(card, new)
+    assert rows[6][0].startswith(f"7 {new} ") and rows[6][0].endswith(" 99") and other not in rows[6][0] and rows[6][1] == 2
+    assert rows[7][0] == f"{new} 12a" and rows[8][0].endswith(new) and rows[10][0] == new.replace(" ", "-") + "-12"
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, 70, None, "late"), (2, 0, "system", "alone"), (None, None, "cat", ""), (1, 1, "ann", "hi")]
     got = {(r.conv_id, r.participant, r.part): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
