@@ -4,30 +4,42 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters between words: space and the ASCII controls TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only if it has at most this many rows (of a few fixed-width columns).
-BROADCAST_ROWS = 200_000
-#: Copies of the small side when it is too large to broadcast; the large side picks one at random by hash.
+#: A side of a join is broadcast only if it has at most so many rows and bytes (of its values as JSON).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Copies of the small side when it is too large to broadcast; the large side picks one by hash. What is still uneven
+#: then, adaptive execution splits: both sides are dealt out for the join alone.
 SALTS = 16
 
 
+def col(name: str) -> Column:
+    """A top-level column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row(df: DataFrame, name: str = "__row") -> Column:
+    """All columns of df as one struct, so that columns made beside it cannot clash; ``{name}.*`` gives them back."""
+    return F.struct(*[col(c).alias(c) for c in df.columns]).alias(name)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which every executor shares. Where the setting is absent
-    (tests on one machine), a temporary folder is set as the checkpoint directory of this context."""
+    """A new path under spark.checkpoint.dir, which every executor shares. Where the setting is absent, a session on
+    one machine gets a temporary folder as its checkpoint directory; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            base = known.get()
-        else:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
-            base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        context = spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
+        base = context._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/marginalia/{uuid.uuid4().hex}-{name}"
 
 
@@ -37,22 +49,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*written_before: DataFrame) -> None:
+    """Remove what written() wrote, once nothing reads it any more."""
+    for df in written_before:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fits_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df's rows and bytes, which are counted, allow it to be broadcast."""
+    x = small.select(F.octet_length(F.to_json(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(small.columns)]))).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return x["n"] <= rows and (x["b"] or 0) <= size
 
 
-def with_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+def with_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """Join a large table with one that has unique keys (null keys match null keys).
 
-    The small side's rows are counted; up to ``limit`` it is broadcast, beyond that every row of it is copied
-    SALTS times and the large side's rows spread over the copies, so a hot key lands in SALTS partitions."""
+    The small side's rows and bytes are counted; within bounds it is broadcast, beyond that every row of it is copied
+    ``salts`` times and the large side's rows spread over the copies, so a hot key lands in so many partitions; 1 is
+    for keys that only equal rows share."""
     keys = [(f"__k{i}", k) for i, k in enumerate(on)]
     rest = [c for c in small.columns if c not in on]
     right = small.select(*[F.col(k).alias(n) for n, k in keys], *rest)
-    if small.count() <= limit:
+    if fits_broadcast(small, limit):
         cond = [big[k].eqNullSafe(right[n]) for n, k in keys]
         return big.join(F.broadcast(right), cond, how).drop(*[n for n, _ in keys])
-    right = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    left = big.withColumn("__s", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
+    if salts == 1:
+        return big.join(right, reduce(Column.__and__, [big[k].eqNullSafe(right[n]) for n, k in keys]), how).drop(*[n for n, _ in keys])
+    right = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    left = big.withColumn("__s", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     cond = [left["__s"] == right["__salt"], *[left[k].eqNullSafe(right[n]) for n, k in keys]]
     return left.join(right, cond, how).drop("__s", "__salt", *[n for n, _ in keys])
 

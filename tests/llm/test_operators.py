@@ -2,14 +2,17 @@
 
 import base64
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from marginalia.llm import chat, decontaminate, host_rules, line_spread, mixing, near_dups, pseudonyms, warc
 from marginalia.llm.common import written
 from marginalia.llm.shingles import shingle_sets
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
@@ -76,21 +79,71 @@ def test_near_duplicates(docs, pct):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
-def test_large_group_stays_one_component(spark):
-    import random
-
-    rng = random.Random(4)
-    base = [f"w{i}" for i in range(400)]
-    texts = []
-    for _ in range(600):
+def varied(n, changed, seed=4, length=400):
+    """Texts made from one, each with some words changed: the more, the fewer of them are similar enough to be linked."""
+    rng = random.Random(seed)
+    base, texts = [f"w{i}" for i in range(length)], []
+    for _ in range(n):
         w = list(base)
-        for at in rng.sample(range(400), 5):
+        for at in rng.sample(range(length), changed):
             w[at] = f"v{rng.randrange(10**6)}"
         texts.append(" ".join(w))
-    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, " ".join(rng.sample(base, 100))) for i in range(50)]
-    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), pct=80).collect()}
-    want = {d: c for d, _, c in components(rows, 80)}
-    assert sum(got[d] != want[d] for d in want) <= 6
+    return list(enumerate(texts))
+
+
+def joined(rows, pct):
+    """component by id, from the sizes of all intersections."""
+    sets = list(shingle_sets([x.encode() for _, x in rows]))
+    flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    tokens, at = np.unique(flat, return_inverse=True)
+    has = np.zeros((len(sets), len(tokens)), np.float32)
+    has[np.repeat(np.arange(len(sets)), sizes), at] = 1
+    has = has[:, has.sum(0) > 1]
+    both = has @ has.T
+    link = 100 * both >= pct * (sizes[:, None] + sizes[None] - both)
+    np.fill_diagonal(link, True)
+    label = np.arange(len(sets))
+    while True:
+        low = np.array([label[x].min() for x in link])
+        if (low == label).all():
+            return {rows[i][0]: rows[x][0] for i, x in enumerate(label)}
+        label = low
+
+
+@pytest.mark.parametrize("n, changed, pct", [(600, 5, 80), (1500, 4, 85), (1500, 5, 85)])
+def test_no_link_is_lost_in_a_large_family(spark, n, changed, pct):
+    rows = varied(n, changed)
+    rng = random.Random(1)
+    rows += [(10_000 + i, " ".join(rng.sample([f"w{i}" for i in range(400)], 100))) for i in range(50)]
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), pct=pct).collect()}
+    want = joined(rows, pct)
+    assert {d: c for d, c in want.items() if got[d] != c} == {} and 1 < len(set(want.values()))
+
+
+def test_block_counts_equal_intersections():
+    rng = np.random.default_rng(3)
+    for wide in (40, 4000):
+        left, right = ([np.unique(rng.integers(0, wide, rng.integers(1, 120)).astype(np.uint64)) for _ in range(n)] for n in (70, 90))
+        assert (near_dups._common(left, right) == [[len(np.intersect1d(a, b)) for b in right] for a in left]).all()
+
+
+def test_a_node_of_very_many_pairs_is_spread_over_blocks(spark, monkeypatch):
+    """One node paired with all others: groups stay near GROUP pairs."""
+    rows = varied(3000, 3)
+    df = written(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    classes = near_dups.signatures(df, "doc_id", "text").selectExpr("node", "sketch", "n_shingles AS size", "struct(doc_id IS NULL AS no_id, doc_id, text_hash) AS first")
+    hub = classes.agg(F.min("node")).first()[0]
+    pairs = classes.where(F.col("node") != hub).select(F.lit(hub).alias("a"), F.col("node").alias("b"))
+    sizes = []
+    original = near_dups.written
+    monkeypatch.setattr(near_dups, "GROUP", 200)
+    monkeypatch.setattr(near_dups, "written", lambda d, name: (sizes.extend(r["count"] for r in d.groupBy("g").count().collect()) if name == "blocks" else None) or original(d, name))
+    links = near_dups.confirmed(df, classes, pairs, "doc_id", "text", 80)
+    assert sum(sizes) == 2999 and max(sizes) <= 400 and links.count() > 0
+    monkeypatch.setattr(near_dups, "GROUP_SHINGLES", 50 * 400)
+    sizes.clear()
+    near_dups.confirmed(df, classes, pairs, "doc_id", "text", 80)
+    assert max(sizes) <= 120
 
 
 def test_host_rules(docs):
