@@ -38,12 +38,12 @@ from marginalia.llm.shingles import MinHash, intersection, set_key, shingle_sets
 from marginalia.llm.workers import lean
 
 TREES, DEPTH, MIN_DEPTH, AGREE = 14, 12, 2, 6
-LEAF, NEAR, HUBS = 16, 1, 2
+LEAF, NEAR, HUBS = 16, 1, 1
 SIMILARITY_PCT = 85
 #: Candidates confirmed in one group, and shingles of their texts.
-GROUP, GROUP_SHINGLES = 1_000, 4 << 20
-#: Nodes on each side of a block of a family, and their shingles.
-BLOCK, BLOCK_SHINGLES = 2_048, 2 << 20
+GROUP, GROUP_SHINGLES = 300, 4 << 20
+#: A family is cut into PARTS parts by nodes, though of LEAST_BLOCK to BLOCK nodes each; blocks are pairs of parts.
+PARTS, LEAST_BLOCK, BLOCK, BLOCK_SHINGLES = 16, 128, 2_048, 2 << 20
 #: Bytes of sets in a batch that Python hands over.
 SET_BYTES = 8 << 20
 
@@ -395,7 +395,9 @@ def rest(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, pct: int) ->
     members = written(members, "members")
     by_label = written(members.groupBy("family", "lab").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")), "family-labels")
     of = by_label.groupBy("family").agg(F.max_by("lab", F.struct("n", "lab")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"))
-    of = of.where("n > most").select("family", "main", F.ceil(F.greatest((F.col("n") - F.col("most")) / BLOCK, F.col("s") / BLOCK_SHINGLES)).alias("rows"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)).alias("columns"))
+    of = of.where("n > most").withColumn("part", F.least(F.greatest(F.col("n") / PARTS, F.lit(LEAST_BLOCK)), F.lit(BLOCK)))
+    parts = lambda n: F.ceil(F.greatest(n / F.col("part"), F.col("s") / BLOCK_SHINGLES))
+    of = of.select("family", "main", parts(F.col("n") - F.col("most")).alias("rows"), parts(F.col("n")).alias("columns"))
     members = with_small(members, written(of, "families"), ["family"], "inner")
     outside = F.col("lab") != F.col("main")
     i, j = F.pmod(F.xxhash64("id", F.lit("row")), "rows"), F.pmod(F.xxhash64("id", F.lit("column")), "columns")
