@@ -147,9 +147,11 @@ class Reader:
 
     def __init__(self, content: bytes):
         self.data = np.frombuffer(content, np.uint8)
-        n_blocks, n_docs, self.n_ids, at, magic = FOOT.unpack(content[-FOOT.size :])
-        if magic != MAGIC or content[:4] != MAGIC:
-            raise ValueError("not a file of patched frame-of-reference blocks")
+        if len(content) < HEAD.size + FOOT.size or content[:4] != MAGIC or content[-4:] != MAGIC:
+            raise ValueError("not a whole file of patched frame-of-reference blocks")
+        n_blocks, n_docs, self.n_ids, at, _ = FOOT.unpack(content[-FOOT.size :])
+        if at + 8 * n_blocks + 17 * n_docs + FOOT.size != len(content):
+            raise ValueError("the index of the file does not fit its length")
         self.starts = np.frombuffer(content, "<u8", n_blocks, at)
         at += 8 * n_blocks
         self.doc_ids = np.frombuffer(content, "<i8", n_docs, at)

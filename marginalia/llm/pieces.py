@@ -1,7 +1,8 @@
 """Exact token ids and counts by way of pieces of text that a tokenizer encodes independently of their neighbours.
 
 A table in each Python worker maps pieces it has met to their ids (or counts); only pieces new to the worker go
-through the tokenizer, in batches. Tables have a bounded number of entries and drop the later half when they are full.
+through the tokenizer, in batches. Tables are bounded in entries and in bytes; a full one keeps the pieces that it met
+first, without long ones.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Entries of a worker's table, and those it keeps when it is full.
 MAX_PIECES, KEPT_PIECES = 500_000, 200_000
+#: Bytes of a worker's pieces and ids, and the longest piece that a full table keeps.
+MAX_HELD, LONGEST = 64 << 20, 128
 #: Pieces that go through the tokenizer as one text.
 GROUP = 64
 SPECIAL = b"<|endoftext|>"
@@ -44,6 +47,7 @@ class Pieces(dict):
         self.separator, self.separator_id = separator, tokenizer(path).token_to_id(separator)
         self.new: list = []
         self.flat, self.sizes, self.starts = array("I"), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.held = 0
         self.update(zip(known[0], range(len(known[0]))))
         self.room()
         self.sizes[: len(self)] = known[1]
@@ -54,12 +58,14 @@ class Pieces(dict):
 
     def shrink(self) -> None:
         """Keep the pieces met first: frequent ones come early."""
-        kept = list(islice(self.items(), KEPT_PIECES))
+        kept = [x for x in islice(self, KEPT_PIECES) if len(x) <= LONGEST]
+        codes = np.fromiter(map(self.__getitem__, kept), np.int64, len(kept))
+        ids, sizes = self.gather(codes)
         self.clear()
-        self.update(kept)
-        if self.ids:
-            n = len(self)
-            del self.flat[int((self.starts[:n] + self.sizes[:n]).max()) :]
+        self.update(zip(kept, range(len(kept))))
+        self.held, self.flat = sum(map(len, kept)), array("I")
+        if len(kept):
+            self.put(np.arange(len(kept)), sizes, ids)
 
     def __missing__(self, piece):
         n = self[piece] = len(self)
@@ -92,13 +98,15 @@ class Pieces(dict):
                 words.append(x)
         words += self.new
         self.new = []
+        self.held += sum(map(len, words))
         self.room()
         plain, odd = [], []
         for x in words:
-            (plain if len(x) <= 128 and (b"<" if isinstance(x, bytes) else "<") not in x else odd).append(x)
+            (plain if len(x) <= LONGEST and (b"<" if isinstance(x, bytes) else "<") not in x else odd).append(x)
         encode = tokenizer(self.path).encode_batch_fast
-        for x, e in zip(odd, encode([self.spell(x) for x in odd], add_special_tokens=False)):
-            self.put(np.array([self[x]]), np.array([len(e.ids)]), np.array(e.ids, np.uint32))
+        for x in odd:  # one by one, as each may be very long
+            ids = encode([self.spell(x)], add_special_tokens=False)[0].ids
+            self.put(np.array([self[x]]), np.array([len(ids)]), np.array(ids, np.uint32))
         for k in range(0, len(plain), GROUP * GROUP):
             part = plain[k : k + GROUP * GROUP]
             texts = list(map(self.spell, part))
@@ -115,7 +123,7 @@ class Pieces(dict):
             self.put(codes, sizes.reshape(-1, 2).sum(1), ids)
 
     def codes(self, pieces: list) -> np.ndarray:
-        if len(self) > MAX_PIECES:
+        if len(self) > MAX_PIECES or self.held + 4 * len(self.flat) > MAX_HELD:
             self.shrink()
         codes = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
         if self.new:

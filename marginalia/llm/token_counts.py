@@ -1,10 +1,12 @@
 """Token counts by a two-tier lookup on the map side: a broadcast table of frequent pre-tokens' lengths, then a
-cache in each worker, then the tokenizer. No pre-token is shuffled: a first pass counts pre-tokens of all documents
-inside each task, in a bounded table that drops its rarest half when full, and only the leaders of each task meet.
-The table decides speed alone; counts are exact whatever it holds.
+cache in each worker, then the tokenizer. No pre-token is shuffled. The table is fitted on the first SAMPLE_CHARS
+characters of at most SAMPLE_DOCS documents, which the driver takes from the first partitions, so its cost is the same
+at every size; it decides speed alone, and counts are exact whatever it holds.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; strings of special tokens inside a text are taken as the
-library does by default; repeated rows are counted each; an empty table gives an empty table.
+library does by default; repeated rows are counted each; a very long text is cut into pre-tokens like any other, and
+very long pre-tokens are counted one by one and not kept; documents do not compete, so there are no ties; columns of
+docs pass through whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.llm.common import table
+from marginalia.llm.common import col, table
 from marginalia.llm.pieces import Pieces, encode_texts, slices, spaced
 from marginalia.llm.workers import lean, shared
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pre-tokens in the broadcast table, leaders each task reports, pre-tokens counted at once in a task, longest pre-token.
-FREQUENT, LEADERS, COUNTED, LONGEST = 32_768, 4_096, 100_000, 64
+#: Pre-tokens in the broadcast table, bytes of the longest in it, and what it is fitted on.
+FREQUENT, LONGEST = 32_768, 64
+SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 4_096
 MAX_TOKENS = 1024
 
 
@@ -31,24 +35,13 @@ def _binary(col: pa.Array) -> pa.Array:
     return col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary())
 
 
-def _leaders(batches):
-    counts: Counter = Counter()
-    for batch in lean(batches):
-        for _, texts in slices(_binary(batch.column(0)).to_pylist()):
-            counts.update(chain.from_iterable(map(spaced, texts)))
-            if len(counts) > 2 * COUNTED:
-                counts = Counter(dict(counts.most_common(COUNTED)))
-    top = [(x, n) for x, n in counts.most_common(LEADERS) if isinstance(x, bytes) and len(x) <= LONGEST]
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
-
-
 def frequent(docs: DataFrame, text: str, path: str) -> tuple[list[bytes], list[int]]:
-    """The most frequent pre-tokens and their numbers of tokens: at most FREQUENT, so at most a few MB."""
-    local = docs.select(text).mapInArrow(_leaders, "piece binary, n long")
-    rows = local.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT).collect()
-    known = [bytes(r["piece"]) for r in rows]
-    lengths = Pieces(path, ids=False).encode(known)[1]
-    return known, lengths.tolist()
+    """The most frequent pre-tokens of the sample and their numbers of tokens: at most FREQUENT of LONGEST bytes."""
+    sample = docs.select(F.substring(col(text), 1, SAMPLE_CHARS).alias("text")).take(SAMPLE_DOCS)
+    counts = Counter(chain.from_iterable(spaced((r["text"] or "").encode()) for r in sample))
+    ranked = sorted((-n, x) for x, n in counts.items() if isinstance(x, bytes) and len(x) <= LONGEST)
+    known = [x for _, x in ranked[:FREQUENT]]
+    return known, Pieces(path, ids=False).encode(known)[1].tolist()
 
 
 def _counter(path: str, known, key: str):
@@ -71,10 +64,11 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str]
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     keep = [c for c in keep if c not in ("n_bytes", "n_tokens", "over_limit")]
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, path))
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "n_bytes long, n_tokens long"])
+    # mapInArrow takes no column with a dot in its name
+    rows = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(keep)], col(text).alias("text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     out = rows.mapInArrow(_counter(path, known, f"{path}-{known._jbroadcast.id()}"), schema)
-    return out.withColumn("over_limit", F.col("n_tokens") > max_tokens)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:

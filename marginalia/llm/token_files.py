@@ -2,11 +2,13 @@
 
 Rows are dealt out by ranges of (doc id, hash of the text), so neither one id nor equal texts overload a task. Each
 task tokenizes its range in order into files of about FILE_BYTES, which it names itself; the names that committed
-tasks return form the manifest, a small table of one row per file. Files are read back with Spark's binaryFile
-source; ids before a file are sums over the manifest.
+tasks return form the manifest, a small table of one row per file. Only files of the manifest are read back; ids before
+a file are sums over the manifest.
 
 Edge cases: a null text is empty and becomes the end id alone; null doc ids come first; rows that repeat a doc id
-follow each other; an empty table writes no files; strings of special tokens become their ids, as the library does.
+follow each other, equal ids in the order of the texts' hashes; an empty table writes no files; strings of special
+tokens become their ids, as the library does; a very long text is tokenized whole, its words one by one, and long words
+are not kept in the worker's table; further columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -20,23 +22,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import scratch, table, with_small, written
+from marginalia.llm.common import col, scratch, table, written
 from marginalia.llm.pfor import BLOCK, Reader, Writer
 from marginalia.llm.pieces import Pieces, encode_words, text_slices
-from marginalia.llm.store import create
+from marginalia.llm.store import content, create, dealt
 from marginalia.llm.workers import lean, shared
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 FILE_BYTES = 16 << 20
 MANIFEST = "path string, part long, nth long, n_docs long, n_ids long"
 #: Bytes of text worked on at once.
-SLICE = 2 << 20
+SLICE = 6 << 20
 #: Ids decoded at once.
 DECODED = 4096 * BLOCK
 
 
-def as_is(piece: bytes) -> str:
-    return piece.decode()
+as_is = bytes.decode
 
 
 def _append_end(ids: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,7 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, file_bytes: int):
 def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the files under folder (a URI all executors reach) and return the manifest with ``before``, the ids of
     all files before. tokenizer: a file of the tokenizers library whose pre-tokenizer drops white space."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     key = ["doc_id", "__h"]
     rows = rows.withColumn("__h", F.xxhash64("text")).repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
     files = written(rows.mapInArrow(_writer(folder, tokenizer, end_id, file_bytes), MANIFEST), "manifest")
@@ -79,9 +80,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
 
 def _reader(batches):
     for batch in lean(batches):
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            file = Reader(content.as_py())
-            crcs, at = np.zeros(len(file.counts), np.int64), 0
+        for path, before in zip(*(c.to_pylist() for c in batch.columns)):
+            file = Reader(content(path))
+            crcs = np.zeros(len(file.counts), np.int64)
             for lo, hi in _runs(file.counts):
                 ids = file.read(int(file.doc_starts[lo]), int(file.counts[lo:hi].sum())).astype("<u4")
                 raw, off = memoryview(ids.tobytes()), 0
@@ -90,7 +91,7 @@ def _reader(batches):
                     crcs[i] = zlib.crc32(raw[off : off + n])
                     off += n
             doc_ids = pa.array(file.doc_ids, pa.int64(), mask=file.nulls)
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(crcs)), doc_ids, pa.array(file.doc_starts), pa.array(file.counts), pa.array(crcs)], ["path", "doc_id", "at", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(file.doc_starts + before), pa.array(file.counts), pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def _runs(counts: np.ndarray):
@@ -105,15 +106,11 @@ def _runs(counts: np.ndarray):
         yield lo, len(counts)
 
 
-def read_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Per document of the files in the manifest: doc_id, start, n_tokens, ids_crc32."""
-    spark = manifest.sparkSession
-    if not manifest.take(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select(F.regexp_extract("path", "[^/]+$", 0).alias("path"), "content")
-    known = manifest.select(F.regexp_extract("path", "[^/]+$", 0).alias("path"), "before")
-    rows = files.mapInArrow(_reader, "path string, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return with_small(rows, known, ["path"], "inner").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+def read_files(manifest: DataFrame) -> DataFrame:
+    """Per document of the files in the manifest: doc_id, start, n_tokens, ids_crc32. A file that is not whole is an
+    error: the manifest has files of committed tasks alone."""
+    files = manifest.select("path", "before")
+    return dealt(files, manifest.count()).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digest(docs: DataFrame) -> DataFrame:
@@ -121,7 +118,7 @@ def token_digest(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     folder = scratch(docs.sparkSession, "tokens")
-    return read_files(write_files(docs, folder, public_tokenizers.path(TOKENIZER)), folder)
+    return read_files(write_files(docs, folder, public_tokenizers.path(TOKENIZER)))
 
 
 def op1_token_files(spark, sf_dir: str) -> DataFrame:

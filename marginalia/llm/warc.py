@@ -10,7 +10,9 @@ depend on where or when a record is written.
 Edge cases: null html is an empty payload; null urls are written as ``about:blank`` and null page ids as no id (such
 a page precedes none, and its capture has a null page_id); among equal payloads and equal ids the smaller hash comes
 first; fully repeated rows make equal records and come back as often as they were written; a record whose
-identifiers lead to no response is a capture without response; an empty table gives an empty table.
+identifiers lead to no response is a capture without response; a very long payload is held by one task at a time, while
+it is written or read; columns besides page_id, url and html, whatever their names, are not looked at; an empty table
+gives an empty table. An archive that is cut off is an error; files that the manifest does not name are never opened.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import scratch, table, with_small, written
-from marginalia.llm.store import create
+from marginalia.llm.store import content, create, dealt
 from marginalia.llm.workers import lean
 
 FILE_BYTES = 16 << 20
@@ -44,17 +46,6 @@ def record_id(page_id: int | None, mark: int, kind: int) -> str:
     return f"urn:uuid:{uuid.UUID(int=(n >> 16) << 80 | 8 << 76 | (n >> 4 & 0xFFF) << 64 | 2 << 62 | low)}"
 
 
-def page_of(urn: str | None) -> int | None:
-    """The page id in a URN of record_id()."""
-    if not urn:
-        return None
-    n = uuid.UUID(urn.rsplit(":", 1)[1]).int
-    if n >> 57 & 1:
-        return None
-    page = (n >> 80) << 16 | (n >> 64 & 0xFFF) << 4 | n >> 58 & 15
-    return page - (1 << 64) if page >> 63 else page
-
-
 def _record(kind: str, rid: str, block: bytes, more: dict[str, str | None]) -> bytes:
     head = {"WARC-Type": kind, "WARC-Record-ID": f"<{rid}>", "WARC-Date": DATE, **more, "Content-Length": str(len(block))}
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None) + "\r\n"
@@ -130,27 +121,33 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
 _LINE = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r?\n")
 
 
-def _records(content: bytes):
+def _records(raw: bytes):
     """(offset, bytes) of each record of a file of gzip members, or of one that is not compressed."""
     at, step = 0, 1 << 16
-    while at < len(content):
-        if content[at : at + 2] == b"\x1f\x8b":
+    cut_off = ValueError("a record of the archive is cut off")
+    while at < len(raw):
+        if raw[at : at + 2] == b"\x1f\x8b":
             unpack, parts, to = zlib.decompressobj(31), [], at
-            while not unpack.eof and to < len(content):
-                parts.append(unpack.decompress(content[to : to + step]))
+            while not unpack.eof and to < len(raw):
+                parts.append(unpack.decompress(raw[to : to + step]))
                 to += step
-            after = min(to, len(content)) - len(unpack.unused_data)
+            if not unpack.eof:
+                raise cut_off
+            after = min(to, len(raw)) - len(unpack.unused_data)
             yield at, b"".join(parts)
         else:
-            end = content.find(b"\r\n\r\n", at) + 4
-            after = end + int(re.search(rb"(?i)\ncontent-length:\s*(\d+)", content[at:end])[1]) + 4
-            yield at, content[at:after]
+            end = raw.find(b"\r\n\r\n", at) + 4
+            length = re.search(rb"(?i)\ncontent-length:\s*(\d+)", raw[at:end])
+            if end < 4 or not length or end + int(length[1]) > len(raw):
+                raise cut_off
+            after = end + int(length[1]) + 4
+            yield at, raw[at:after]
         at = after
 
 
-def parse(content: bytes):
+def parse(raw: bytes):
     """(offset, headers by lower-case name, block) of each record."""
-    for at, data in _records(content):
+    for at, data in _records(raw):
         end = data.find(b"\r\n\r\n") + 4
         headers: dict[str, list[str]] = {}
         for k, v in _LINE.findall(data[:end]):
@@ -188,9 +185,9 @@ def _reader(payloads: bool):
 
     def run(batches):
         for batch in lean(batches):
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for path in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for at, headers, block in parse(content.as_py()):
+                for at, headers, block in parse(content(path)):
                     if headers["warc-type"][0] != "warcinfo":
                         rows.append(_row(path.rsplit("/", 1)[-1], at, headers, block, payloads))
                         size += len(block)
@@ -203,14 +200,9 @@ def _reader(payloads: bool):
     return run
 
 
-def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """A row of RECORDS per record of the files in the manifest, warcinfo aside."""
-    spark = manifest.sparkSession
-    if not manifest.take(1):
-        return spark.createDataFrame([], RECORDS)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
-    known = manifest.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"))
-    return with_small(files.mapInArrow(_reader(payloads), RECORDS), known, ["file"], "inner")
+def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
+    """A row of RECORDS per record of the files in the manifest (a table with ``path``), warcinfo aside."""
+    return dealt(manifest.select("path"), manifest.count()).mapInArrow(_reader(payloads), RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -218,7 +210,7 @@ def assemble(records: DataFrame) -> DataFrame:
     of each kind there are (of several, the smallest id stands in the row).
 
     A record belongs to the response that its concurrent-to identifiers name, that names it, or that a record it
-    names belongs to. Only identifiers are shuffled to find out; aggregation combines before it shuffles."""
+    names belongs to. The payload is in the nested row if records have it. Only identifiers are shuffled to find out; aggregation combines before it shuffles."""
     main = F.col("type").isin("response", "revisit")
     # an id of one response may be in many records: the responses are made distinct, then only their ids are joined
     links = records.select("record_id", F.explode("concurrent_to").alias("to"), main.alias("is_main"))
@@ -230,7 +222,7 @@ def assemble(records: DataFrame) -> DataFrame:
     owner = direct.unionByName(onward).groupBy("rid").agg(F.min("root").alias("root"))
     owned = records.where(~main).join(owner, F.col("record_id") == F.col("rid"), "left").drop("rid").withColumn("root", F.coalesce("root", "record_id"))
     rows = records.where(main).withColumn("root", F.col("record_id")).unionByName(owned.select(*records.columns, "root"))
-    part = F.struct("record_id", "type", "target_uri", "date", "payload_digest", "payload_bytes", "refers_to", "fields", "file", "offset")
+    part = F.struct("record_id", "type", "target_uri", "date", "payload_digest", "payload_bytes", "refers_to", "fields", "file", "offset", *[c for c in ("payload",) if c in records.columns])
 
     def first(of):
         return F.min(F.when(of, part))
@@ -242,25 +234,23 @@ def assemble(records: DataFrame) -> DataFrame:
     )
 
 
-def page_id_of(urn: str) -> Column:
-    """page_of() in SQL functions: hexadecimal digits of a UUID back to a page id."""
-    hexa = F.regexp_replace(F.regexp_extract(urn, "[0-9a-f-]{36}$", 0), "-", "")
-    third = F.conv(F.substring(hexa, 17, 2), 16, 10).cast("int")  # variant, 4 bits of the id, null flag, kind
-    bits = F.concat(F.substring(hexa, 1, 12), F.substring(hexa, 14, 3), F.hex(F.shiftrightunsigned(third.bitwiseAND(F.lit(0x3C)), 2)))
-    page = F.conv(bits, 16, -10).cast("long")
-    flag = third.bitwiseAND(F.lit(2)) != 0
-    return F.when(F.col(urn).isNotNull() & ~flag, page)
+def page_ids(captures: DataFrame) -> DataFrame:
+    """captures with page_id, from the fields of the metadata record, and refers_to, the page_id of the capture whose
+    response the WARC-Refers-To of a revisit names (null if that is in none of the archives)."""
+    page = F.regexp_extract("metadata.fields", r"pageId: (-?\d+)", 1)
+    out = captures.withColumn("page_id", F.when(page != "", page.cast("long"))).withColumn("__to", F.col("response.refers_to"))
+    named = out.where("__to IS NOT NULL").select(F.col("__to").alias("root")).distinct()
+    named = written(out.select("root", "page_id").join(named, "root", "left_semi").select(F.col("root").alias("__to"), F.col("page_id").alias("refers_to")), "referred")
+    return with_small(out, named, ["__to"]).drop("__to")
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
-    folder = scratch(spark, "warc")
-    manifest = write_archives(table(spark, sf_dir, "pages"), folder)
-    captures = assemble(written(read_archives(manifest, folder, payloads=False).drop("payload"), "records"))
-    page = F.regexp_extract("metadata.fields", r"pageId: (-?\d+)", 1)
-    out = captures.where("response IS NOT NULL").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_responses").cast("int"))))
+    manifest = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    captures = written(assemble(written(read_archives(manifest, payloads=False).drop("payload"), "records")), "captures")
+    out = page_ids(captures).where("response IS NOT NULL").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_responses").cast("int"))))
     return out.select(
-        F.when(page != "", page.cast("long")).alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"), page_id_of("response.refers_to").alias("refers_to"),
+        "page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"), "refers_to",
     )
 
 

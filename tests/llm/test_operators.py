@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -298,7 +300,7 @@ def test_transactions(spark):
     pages = [(1, "http://a/", "<p>x"), (2, "http://b/ c", "<p>x"), (3, None, None), (4, "u", ""), (-5, "v", "é" * 40_000), (None, "w", "<p>x"), (7, "z", "<p>y"), (7, "z", "<p>y")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     folder = warc.scratch(spark, "warc-test")
-    records = written(warc.read_archives(warc.write_archives(df, folder), folder), "records")
+    records = written(warc.read_archives(warc.write_archives(df, folder)), "records")
     assert Counter(r.type for r in records.collect()) == {"response": 5, "revisit": 3, "request": 8, "metadata": 8}
     rows = warc.assemble(records).collect()
     by_page = {re.search(r"-?\d+", r.metadata.fields)[0] if r.metadata.fields else None: r for r in rows}
@@ -310,7 +312,29 @@ def test_transactions(spark):
     assert by_page["1"].response.type == "response" and by_page["2"].response.type == "revisit" and by_page["2"].response.refers_to == by_page["1"].response.record_id
     assert by_page["3"].response.type == "response" and by_page["4"].response.type == "revisit"
     assert by_page["7"].n_responses == 2
-    assert warc.assemble(warc.read_archives(warc.write_archives(df.limit(0), folder + "0"), folder + "0")).collect() == []
+    whole = warc.page_ids(written(warc.assemble(records), "captures")).collect()
+    assert {(r.page_id, r.refers_to) for r in whole if r.response.type == "revisit"} == {(2, 1), (4, 3), (None, 1)}
+    assert all((r.response.payload is None) == (r.response.type == "revisit") for r in whole)
+    assert warc.assemble(warc.read_archives(warc.write_archives(df.limit(0), folder + "0"))).collect() == []
+
+
+def test_archives_left_by_lost_attempts_are_not_opened(spark):
+    df = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}") for i in range(20)], "page_id long, url string, html string")
+    folder = warc.scratch(spark, "warc-test")
+    manifest = warc.write_archives(df, folder)
+    good = Path(urlparse(manifest.first().path).path)
+    (good.parent / f"cut-{good.name}").write_bytes(good.read_bytes()[:-40])
+    assert warc.read_archives(manifest).count() == 60
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse(good.read_bytes()[:-40]))
+
+
+def test_refers_to_is_joined_not_decoded(spark):
+    """Records of another writer, whose ids say nothing."""
+    row = lambda rid, kind, to, refers, fields: ("f", 0, rid, kind, to, refers, "u", "d", "x", 1, fields, None)
+    rows = [row("r1", "response", None, None, None), row("m1", "metadata", ["r1"], None, "pageId: 7\r\n"), row("r2", "revisit", None, "r1", None), row("m2", "metadata", ["r2"], None, "pageId: 9\r\n"), row("r3", "revisit", None, "elsewhere", None), row("m3", "metadata", ["r3"], None, "pageId: 11\r\n")]
+    got = warc.page_ids(written(warc.assemble(spark.createDataFrame(rows, warc.RECORDS)), "captures")).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(7, None), (9, 7), (11, None)}
 
 
 def test_pseudonyms(spark):

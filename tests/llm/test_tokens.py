@@ -1,7 +1,10 @@
 import zlib
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -74,3 +77,44 @@ def test_token_files(spark):
 def test_null_ids_come_first(spark):
     df = spark.createDataFrame([(1, "b"), (None, "a"), (-5, "c")], "doc_id long, text string")
     assert [r.doc_id for r in token_files.token_digest(df).orderBy("start").collect()] == [None, -5, 1]
+
+
+def test_files_left_by_lost_attempts_are_not_opened(spark):
+    df = docs(spark)
+    folder = token_files.scratch(spark, "tokens-test")
+    manifest = token_files.write_files(df, folder, public_tokenizers.path(token_files.TOKENIZER))
+    good = Path(urlparse(manifest.first().path).path)
+    (good.parent / f"cut-{good.name}").write_bytes(good.read_bytes()[:-7])
+    assert token_files.read_files(manifest).count() == df.count()
+    for n in (7, 30):
+        with pytest.raises(ValueError):
+            pfor.Reader(good.read_bytes()[:-n])
+
+
+def test_tables_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "MAX_HELD", 2000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table, full = pieces.Pieces(path, spell=token_files.as_is), Tokenizer.from_file(path)
+    for texts in (["a b c", "x" * 5000], ["some other words, and " + "y" * 300], ["c b a", "x" * 5000, "words"]):
+        ids, sizes = pieces.encode_words(table, pa.array(texts))
+        assert ids.tolist() == [x for t in texts for x in full.encode(t, add_special_tokens=False).ids]
+    table.codes([])
+    assert table.held + 4 * len(table.flat) <= 2000 and not any(len(x) > pieces.LONGEST for x in table)
+
+
+def test_long_texts_without_a_space(spark):
+    texts = ["x" * 300_000, "日本" * 50_000, "ab" * 100_000 + " tail"]
+    for name, run in (("byte_bpe_50k.json", lambda d, p: token_counts.count_tokens(d, p)), (token_files.TOKENIZER, lambda d, p: token_files.token_digest(d))):
+        full = Tokenizer.from_file(public_tokenizers.path(name))
+        more = name == token_files.TOKENIZER
+        got = {r.doc_id: r.n_tokens - more for r in run(spark.createDataFrame([(i, x, i) for i, x in enumerate(texts)], "doc_id long, text string, `a.b` int"), public_tokenizers.path(name)).collect()}
+        assert got == {i: len(full.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
+def test_the_sample_decides_speed_alone(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs(spark), path).collect()}
+    monkeypatch.setattr(token_counts, "SAMPLE_DOCS", 1)
+    out = token_counts.count_tokens(docs(spark), path)
+    assert {(r.doc_id, r.n_tokens) for r in out.collect()} == want
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
