@@ -171,10 +171,15 @@ def test_host_rules(docs):
     rates = [sum(v) / len(v) for v in hosts.values()]
     mean = sum(rates) / len(rates)
     a, b = host_rules.beta_prior(mean, sum((x - mean) ** 2 for x in rates) / len(rates), sum(1 / len(v) for v in hosts.values()) / len(hosts))
-    for r, n, chars, symbols, dup, covered, base, _ in stats:
-        bad = (sum(hosts[r[3]]) + a) / (len(hosts[r[3]]) + a + b) > host_rules.MAX_HOST_RATE
+    n_strict = 0
+    for r, n, chars, symbols, dup, covered, base, failed in stats:
+        rate = (sum(hosts[r[3]]) + a) / (len(hosts[r[3]]) + a + b)
+        strict = rate > a / (a + b) * (1 + host_rules.STRICT_MARGIN)
+        n_strict += failed and not base and strict
+        keep = not (base or rate > host_rules.MAX_HOST_RATE or failed and strict)
         for x in got[r[0], r[1]]:
-            assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed, x.kept) == (n, chars, symbols, dup, covered, base, not base and not bad)
+            assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed, x.kept) == (n, chars, symbols, dup, covered, base, keep)
+    assert n_strict > 0
     kept = host_rules.keep_good(df)
     assert kept.columns == df.columns and kept.count() == out.where("kept").count()
 
@@ -186,6 +191,20 @@ def test_bad_host_takes_its_good_documents_along(spark):
     assert sorted(r.doc_id for r in host_rules.keep_good(df).collect()) == [*range(60)]
 
 
+def test_strict_host_loses_what_breaks_further_rules(spark):
+    good, marked = (lambda i: " ".join(f"w{i}x{k}" for k in range(80))), (lambda i: " ".join(f"#$%{i}x{k}" for k in range(80)))
+    rows = [(i, good(i) if i % 20 else marked(i), "fine") for i in range(200)] + [(1000 + i, good(i) if i % 2 else marked(i), "worse") for i in range(200)]
+    kept = {r.doc_id for r in host_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert kept == {*range(200)} | {1000 + i for i in range(1, 200, 2)}
+
+
+def test_repeats_of_long_texts():
+    rng = random.Random(5)
+    for n, wide in ((30, 3), (300, 12), (2000, 5000)):
+        words = [b"%d" % rng.randrange(wide) for _ in range(n)]
+        assert host_rules._covered_long(words) == host_rules._covered(words)
+
+
 def test_mixing(docs):
     rows, df = docs
     plan = mixing.plan(df).collect()
