@@ -17,6 +17,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Copies of the small side when it is too large to broadcast; the large side picks one by hash. What is still uneven
 #: then, adaptive execution splits: both sides are dealt out for the join alone.
 SALTS = 16
+#: Bits of the filter that tells rows without a match (see with_small).
+SIEVE_BITS = 1 << 26
 
 
 def col(name: str) -> Column:
@@ -68,24 +70,48 @@ def fits_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
     return x["n"] <= rows and (x["b"] or 0) <= size
 
 
-def with_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join a large table with one that has unique keys (null keys match null keys).
+def sieved(big: DataFrame, keys: list[Column], small: DataFrame, on: list[Column]) -> DataFrame:
+    """big with ``__maybe``: whether small may have the key; where it is false, small has not. By one bit for each of
+    SIEVE_BITS hash values, in bitmaps of 4 KB that are broadcast, 8 MB however large small is."""
+    h = F.pmod(F.xxhash64(*on), F.lit(SIEVE_BITS))
+    bits = written(small.groupBy(F.floor(h / 32768).alias("__b")).agg(F.bitmap_construct_agg(h % 32768).alias("__bits")), "sieve")
+    at = F.pmod(F.xxhash64(*keys), F.lit(SIEVE_BITS))
+    out = big.withColumn("__at", at).join(F.broadcast(bits), F.floor(F.col("__at") / 32768) == F.col("__b"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), ((F.col("__at") % 32768) / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.call_function("shiftright", byte, (F.col("__at") % 8).cast("int")) % 2 == 1, F.lit(False))
+    return out.withColumn("__maybe", maybe).drop("__at", "__b", "__bits")
+
+
+def with_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = SALTS, sieve: bool = False) -> DataFrame:
+    """Join a large table with one that has unique keys (null keys match null keys). how: inner, left or left_anti.
 
     The small side's rows and bytes are counted; within bounds it is broadcast, beyond that every row of it is copied
     ``salts`` times and the large side's rows spread over the copies, so a hot key lands in so many partitions; 1 is
-    for keys that only equal rows share."""
-    keys = [(f"__k{i}", k) for i, k in enumerate(on)]
+    for keys that only equal rows share. ``sieve`` is for a large side of wide rows of which few have a match: then
+    only those that may have one are shuffled."""
+    keys = [(f"__on{i}", k) for i, k in enumerate(on)]
     rest = [c for c in small.columns if c not in on]
     right = small.select(*[F.col(k).alias(n) for n, k in keys], *rest)
-    if fits_broadcast(small, limit):
+    names = [n for n, _ in keys]
+    if fits_broadcast(small):
         cond = [big[k].eqNullSafe(right[n]) for n, k in keys]
-        return big.join(F.broadcast(right), cond, how).drop(*[n for n, _ in keys])
+        return big.join(F.broadcast(right), cond, how).drop(*names)
+    others = None
+    if sieve:
+        split = sieved(big, [F.col(k) for k in on], small, [F.col(k) for k in on])
+        others, big = split.where(~F.col("__maybe")).drop("__maybe"), split.where("__maybe").drop("__maybe")
     if salts == 1:
-        return big.join(right, reduce(Column.__and__, [big[k].eqNullSafe(right[n]) for n, k in keys]), how).drop(*[n for n, _ in keys])
-    right = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    left = big.withColumn("__s", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    cond = [left["__s"] == right["__salt"], *[left[k].eqNullSafe(right[n]) for n, k in keys]]
-    return left.join(right, cond, how).drop("__s", "__salt", *[n for n, _ in keys])
+        out = big.join(right, reduce(Column.__and__, [big[k].eqNullSafe(right[n]) for n, k in keys]), how).drop(*names)
+    else:
+        right = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+        left = big.withColumn("__s", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+        cond = [left["__s"] == right["__salt"], *[left[k].eqNullSafe(right[n]) for n, k in keys]]
+        out = left.join(right, cond, how).drop("__s", "__salt", *names)
+    if others is None or how == "inner":
+        return out
+    if how == "left":
+        others = others.select("*", *[F.lit(None).cast(small.schema[c].dataType).alias(c) for c in rest])
+    return out.unionByName(others)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

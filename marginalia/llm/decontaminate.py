@@ -1,38 +1,43 @@
 """Benchmark decontamination by spaced seeds, in SQL functions alone.
 
-Words are runs of letters and digits in lower case. Each mask fixes some offsets of a window and ignores the others;
-the hash of the fixed words at every position of every document meets the same hashes of the benchmark. A hit gives a
-diagonal (the offset between document and item), and up to FLANK words to either side of the window are compared on
-it: with at least MIN_WORDS words compared and 0.8 of them equal, the overlap stands, substitutions and all. If they
-do not stand as a whole, as where the document has only part of an item, the best of their stretches of MIN_WORDS words
-or more with 0.8 equal does.
+Words are runs of letters and digits in lower case, known by 64-bit hashes. Each mask fixes some offsets of a window
+and ignores the others; the hash of the fixed words at every position of every document meets the same hashes of the
+benchmark. A hit gives a diagonal (the offset between document and item), and up to FLANK words to either side of the
+window are compared on it: with at least MIN_WORDS words compared and 0.8 of them equal, the overlap stands,
+substitutions and all. If they do not stand as a whole, as where the document has only part of an item, the best of
+their stretches of MIN_WORDS words or more with 0.8 equal does.
 
-The benchmark's hashes are broadcast in blocks of at most BLOCK_ROWS rows, so that the size of a broadcast is bounded
-whatever the size of the benchmark; documents are never shuffled for the search.
+Documents are scanned once, whatever the size of the benchmark. Its seeds, each once however many items share it, are
+broadcast if they are few enough; beyond that positions go through a bitmap of bounded size first, and only those that
+may have a seed are shuffled, with the few words around them, salted.
 
 Edge cases: null texts have no words; items shorter than MIN_WORDS words count as a whole, and those shorter than the
-shortest mask's window, which are too few words to tell, match nothing; a null id is an id like any other; rows that repeat an id are searched each and reported together; an empty table on
-either side gives no overlaps.
+shortest mask's window, which are too few words to tell, match nothing (``short_items`` lists them); of stretches that
+tie, the shortest and then the first counts; a null id is an id like any other; rows that repeat an id are searched
+each and reported together; a very long text is a row for each of its positions with a few numbers each, as is any
+other; further columns pass through, whatever their names; an empty table on either side gives no overlaps.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BROADCAST_ROWS, table, written
+from marginalia.llm.common import col, fits_broadcast, row, sieved, table, with_small, written
 
 #: 1: the word counts, 0: it is ignored. No run of ones is longer than three words.
 MASKS = ("110110101", "1011100101", "11010001011")
 FLANK, MIN_WORDS, MIN_SIMILARITY = 8, 13, 0.8
-BLOCK_ROWS = BROADCAST_ROWS
 WORDS = r"[\p{L}\p{N}]+"
 
 
 def words(text: str) -> Column:
-    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORDS), 0)
+    return F.transform(F.regexp_extract_all(F.lower(col(text)), F.lit(WORDS), 0), lambda w: F.xxhash64(w))
+
+
+def short_items(benchmark: DataFrame, item_text: str = "text") -> DataFrame:
+    """The items (all columns) that have too few words to be found."""
+    return benchmark.where(F.coalesce(F.size(words(item_text)), F.lit(0)) < min(map(len, MASKS)))
 
 
 def _hashes(tokens: Column, at: Column) -> Column:
@@ -64,34 +69,42 @@ def _best_part(equal: Column, need: Column, min_similarity: float) -> Column:
     return F.transform(F.filter(F.array(best), lambda x: x.isNotNull()), made)[0]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_key: list[Column], item_id: str = "item_id", doc_text: str = "text", item_text: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """The columns doc_key with item_id, start and length (words) of the compared stretch in the document,
-    and matched words: every stretch found, once for each hit."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(item_text).alias("item"))
-    seeds = items.select("item_id", "item", _positions(F.col("item")).alias("q"))
-    seeds = seeds.select("item_id", "item", "q", F.posexplode(_hashes(F.col("item"), F.col("q"))).alias("mask", "hash")).where("hash IS NOT NULL")
-    # of the item, a hit needs only the words around its window
+def seeds_of(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct seeds (seed, hash, back, need, item: the words around the window), and seed with item_id."""
+    items = benchmark.select(col(item_id).alias("item_id"), words(item_text).alias("item"))
+    rows = items.select("item_id", "item", _positions(F.col("item")).alias("q"))
+    rows = rows.select("item_id", "item", "q", F.posexplode(_hashes(F.col("item"), F.col("q"))).alias("mask", "hash")).where("hash IS NOT NULL")
     lo = F.greatest(F.col("q") - FLANK, F.lit(0))
     hi = F.least(F.size("item"), F.col("q") + F.element_at(F.array(*[F.lit(len(m)) for m in MASKS]), F.col("mask") + 1) + FLANK)
-    seeds = written(seeds.select("hash", "item_id", (F.col("q") - lo).alias("back"), F.least(F.size("item"), F.lit(MIN_WORDS)).alias("need"), F.slice("item", lo + 1, hi - lo).alias("item")), "seeds")
-    blocks = max(1, -(-seeds.count() // BLOCK_ROWS))
-    rows = docs.select(*[k.alias(f"__k{i}") for i, k in enumerate(doc_key)], words(doc_text).alias("__w"))
-    rows = rows.select("*", _positions(F.col("__w")).alias("__p"))
-    rows = rows.select("*", F.explode(_hashes(F.col("__w"), F.col("__p"))).alias("__hash"))
-    found = []
-    for b in range(blocks):
-        part = seeds.where(F.pmod(F.xxhash64("item_id", "hash"), F.lit(blocks)) == b) if blocks > 1 else seeds
-        hits = rows.join(F.broadcast(part), F.col("__hash") == F.col("hash"))
-        start = F.col("__p") - F.col("back")
-        # words of the stretch that lie before the document's first or after its last are not compared
-        skip = F.greatest(-start, F.lit(0)).cast("int")
-        n = F.least(F.size("item"), F.size("__w") - start).cast("int") - skip
-        hits = hits.select(*rows.columns[: len(doc_key)], "item_id", (start + skip).alias("start"), n.alias("length"), "need", F.slice("__w", start + skip + 1, n).alias("a"), F.slice("item", skip + 1, n).alias("b"))
-        # written, so that the comparison is not pulled into the join, where it would end the generated code and
-        # make a row with all words of the document for every position
-        found.append(written(hits.where(F.col("length") >= F.col("need")), "hits"))
-    equal = F.zip_with("a", "b", lambda x, y: (x == y).cast("int"))
-    out = reduce(DataFrame.unionByName, found).withColumn("equal", equal).drop("a", "b")
+    rows = rows.select("hash", "item_id", (F.col("q") - lo).alias("back"), F.least(F.size("item"), F.lit(MIN_WORDS)).alias("need"), F.slice("item", lo + 1, hi - lo).alias("item"))
+    rows = written(rows.select(F.xxhash64("hash", "back", "need", "item").alias("seed"), "*"), "seeds")
+    return written(rows.drop("item_id").dropDuplicates(["seed"]), "seeds"), rows.select("seed", "item_id").distinct()
+
+
+def overlaps(docs: DataFrame, seeds: DataFrame, doc_key: list[Column], doc_text: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """The columns doc_key with seed, start and length (words) of the compared stretch in the document,
+    and matched words: every stretch found, once for each hit."""
+    names = [f"__k{i}" for i in range(len(doc_key))]
+    rows = docs.select(*[k.alias(n) for n, k in zip(names, doc_key)], words(doc_text).alias("w"))
+    rows = rows.select("*", _positions(F.col("w")).alias("p"))
+    rows = rows.select("*", F.explode(_hashes(F.col("w"), F.col("p"))).alias("hash"))
+    # of the document, a hit needs only the words around its window
+    first = F.greatest(F.col("p") - FLANK, F.lit(0))
+    near = lambda d, *more: d.select(*names, *more, "hash", "p", first.alias("first"), F.slice("w", first + 1, F.lit(max(map(len, MASKS)) + 2 * FLANK)).alias("w"))
+    if fits_broadcast(seeds):
+        hits = near(rows.join(F.broadcast(seeds.withColumnRenamed("hash", "seed_hash")), F.col("hash") == F.col("seed_hash")), "seed", "back", "need", "item")
+    else:
+        maybe = sieved(rows, [F.col("hash")], seeds, [F.col("hash")]).where("__maybe")
+        hits = with_small(written(near(maybe), "maybe"), seeds, ["hash"], "inner")
+    start = F.col("p") - F.col("back")
+    # words of the stretch that lie before the document's first or after its last are not compared
+    skip = F.greatest(-start, F.lit(0)).cast("int")
+    n = F.least(F.size("item"), F.col("first") + F.size("w") - start).cast("int") - skip
+    hits = hits.select(*names, "seed", (start + skip).alias("start"), n.alias("length"), "need", F.slice("w", (start + skip - F.col("first") + 1).cast("int"), n).alias("a"), F.slice("item", skip + 1, n).alias("b"))
+    # written, so that the comparison is not pulled into the join, where it would end the generated code and
+    # make a row with all words of the document for every position
+    hits = written(hits.where(F.col("length") >= F.col("need")), "hits")
+    out = hits.withColumn("equal", F.zip_with("a", "b", lambda x, y: (x == y).cast("int"))).drop("a", "b")
     out = out.withColumn("matched", F.aggregate("equal", F.lit(0), lambda s, x: s + x))
     whole = F.col("matched") >= min_similarity * F.col("length")
     # no stretch within has more equal words than the whole
@@ -101,22 +114,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_key: list[Column], item_
     return out.withColumns(at).drop("equal", "part", "need")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", doc_text: str = "text", item_text: str = "text", **how) -> DataFrame:
     """One row per document and item that overlap: doc_id, item_id, n_places (distinct starts of stretches), and
     matched and length of the best stretch."""
-    found = overlaps(docs, benchmark, [F.col(doc_id)], **how)
-    best = F.max(F.struct(F.col("matched").alias("m"), (-F.col("length")).alias("l")))
-    out = found.groupBy(F.col("__k0").alias("doc_id"), "item_id").agg(F.count_distinct("start").alias("n_places"), best.alias("best"))
+    seeds, items = seeds_of(benchmark, item_id, item_text)
+    found = overlaps(docs, seeds, [col(doc_id)], doc_text, **how)
+    best = F.max(F.struct(F.col("matched").alias("m"), (-F.col("length")).alias("l"))).alias("best")
+    # what a seed has found is summed up before its items, which may be many, come in
+    found = found.groupBy("__k0", "seed", "start").agg(best).join(items, "seed")
+    out = found.groupBy(F.col("__k0").alias("doc_id"), "item_id").agg(F.count_distinct("start").alias("n_places"), F.max("best").alias("best"))
     return out.select("doc_id", "item_id", "n_places", F.col("best.m").cast("long").alias("matched"), (-F.col("best.l")).cast("long").alias("length"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", **how) -> DataFrame:
     """The documents (all columns) without an overlap. Rows are known by id and a hash of the text."""
-    key = [F.col(doc_id), F.xxhash64(F.col(text))]
-    bad = written(overlaps(docs, benchmark, key, doc_text=text, **how).select("__k0", "__k1").distinct(), "contaminated")
-    if bad.count() <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["__k0"]) & F.xxhash64(docs[text]).eqNullSafe(bad["__k1"]), "left_anti")
+    key = F.struct(col(doc_id).alias("id"), F.xxhash64(col(text)).alias("hash"))
+    found = overlaps(docs, seeds_of(benchmark, item_id, item_text)[0], [key], text, **how)
+    bad = written(found.select(F.col("__k0").alias("at")).distinct(), "contaminated")
+    return with_small(docs.select(row(docs), key.alias("at")), bad, ["at"], "left_anti", salts=1, sieve=True).select("__row.*")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -219,7 +219,7 @@ def _sets(batches):
 def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
     """node and hashes (its sorted set as bytes). wanted: distinct nodes with the id and text hash of one row."""
     texts = docs.select(F.struct(col(doc_id).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("text_hash")).alias("at"), col(text).alias("text"))
-    found = with_small(texts, wanted.select("node", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).alias("at")), ["at"], "inner", salts=1)
+    found = with_small(texts, wanted.select("node", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).alias("at")), ["at"], "inner", salts=1, sieve=True)
     return found.select("node", "text").mapInArrow(_sets, "node binary, hashes binary")
 
 
@@ -437,7 +437,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """docs (all columns) without the documents that are not their component's smallest."""
     gone = near_duplicates(docs, doc_id, text, pct).where(~F.col("kept")).select(F.struct("doc_id", "text_hash").alias("at")).distinct()
     rows = docs.select(row(docs), F.struct(col(doc_id).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("text_hash")).alias("at"))
-    return with_small(rows, written(gone, "gone"), ["at"], "left_anti").select("__row.*")
+    return with_small(rows, written(gone, "gone"), ["at"], "left_anti", salts=1, sieve=True).select("__row.*")
 
 
 def op10_near_dups(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pytest
-from marginalia.llm import chat, decontaminate, host_rules, line_spread, mixing, near_dups, pseudonyms, warc
+from marginalia.llm import chat, common, decontaminate, host_rules, line_spread, mixing, near_dups, pseudonyms, warc
 from marginalia.llm.common import written
 from marginalia.llm.shingles import shingle_sets
 from pyspark.sql import functions as F
@@ -274,12 +274,34 @@ def test_decontamination_tolerates_substitutions(spark):
     docs = spark.createDataFrame([(1, "before " + " ".join(one_off) + " after"), (2, "nothing of the kind " * 20), (3, " ".join(item[:9]))], "doc_id long, text string")
     bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.contamination(docs, bench).collect()] == [1]
-    for blocks in (decontaminate.BLOCK_ROWS, 20):
-        decontaminate.BLOCK_ROWS, kept = blocks, decontaminate.BLOCK_ROWS
-        try:
-            assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 3]
-        finally:
-            decontaminate.BLOCK_ROWS = kept
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 3]
+
+
+def test_decontamination_by_a_large_benchmark(docs, spark, monkeypatch):
+    """Beyond what may be broadcast, the same rows come out of one scan."""
+    _, df = docs
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    shared = bench.selectExpr("item_id + 10000 AS item_id", "text").unionByName(bench)  # every passage in two items
+    run = lambda: (sorted(map(tuple, decontaminate.contamination(df, shared).collect()), key=order), sorted((r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()), key=lambda x: (x is None, x)))
+    want = run()
+    assert want[0] and {i % 10000 for _, i, *_ in want[0] if i >= 10000} == {i for _, i, *_ in want[0] if i < 10000}
+    for module in (common, decontaminate):
+        monkeypatch.setattr(module, "fits_broadcast", lambda *_: False)
+    assert run() == want
+    short = spark.createDataFrame([(1, "too few words"), (2, None), (3, " ".join("abcdefghi"))], "item_id long, text string")
+    assert sorted(r.item_id for r in decontaminate.short_items(short).collect()) == [1, 2]
+
+
+def test_joins_beyond_a_broadcast(spark, monkeypatch):
+    big = spark.range(400).selectExpr("IF(id % 7 = 0, NULL, id % 50) AS k", "id AS v")
+    small = spark.range(0, 80, 3).selectExpr("id AS k", "id * 2 AS w").unionByName(spark.sql("SELECT CAST(NULL AS long) k, -1L w"))
+    want = {how: Counter(map(tuple, common.with_small(big, small, ["k"], how).collect())) for how in ("inner", "left", "left_anti")}
+    assert all(sum(x.values()) for x in want.values())
+    monkeypatch.setattr(common, "fits_broadcast", lambda *_: False)
+    for how in want:
+        for salts in (1, 16):
+            for sieve in (False, True):
+                assert Counter(map(tuple, common.with_small(big, small, ["k"], how, salts, sieve).collect())) == want[how]
 
 
 def test_decontamination_finds_parts_of_items(spark):
