@@ -6,8 +6,10 @@ cap/weight, the water level from running sums). A document is emitted floor(rate
 the seed and its id falls below the fraction, so reruns and retried tasks agree.
 
 Edge cases: null text has size 0; null is a source of its own and comes last; a null id hashes as the word null;
-rows with one id share one draw; a source of size 0 has target 0 and its documents are not emitted; an empty
-table gives an empty table; further columns pass through.
+rows with one id share one draw, as do fully repeated rows; sources of equal cap by weight come in the order of their
+names; a very long text counts its words and draws like any other, so its source misses the target by up to its size;
+a source of size 0 has target 0 and its documents are not emitted; an empty table gives an empty table; further
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WORD, table, with_small, written
+from marginalia.llm.common import WORD, col, row, table, with_small, written
 
 WEIGHTS = (3, 1, 2)
 SHARE_PCT = 150
@@ -25,7 +27,7 @@ SCALE = float(1 << 52)
 
 
 def n_words(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, source: str, weights=WEIGHTS, share_pct: int = SHARE_PCT, max_rate: int = MAX_RATE) -> DataFrame:
@@ -59,7 +61,7 @@ def copies(doc_id: str, rate: str = "rate", seed: str = SEED) -> Column:
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """Per document: id, source, size, source_size, target, rate, copies, taken. Texts are read once, for their sizes."""
-    sizes = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("__source"), n_words(text).alias("size")), "sizes")
+    sizes = written(docs.select(col(doc_id).alias("doc_id"), col(source).alias("__source"), n_words(text).alias("size")), "sizes")
     by_source = targets(sizes.groupBy("__source").agg(F.sum("size").alias("source_size")), "__source", **how)
     out = with_small(sizes, written(by_source, "targets"), ["__source"])
     return out.withColumn("copies", copies("doc_id")).withColumn("taken", F.col("size") * F.col("copies"))
@@ -67,9 +69,9 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """docs with every row emitted as often as the plan says (columns unchanged). Two scans and no shuffle of texts."""
-    sizes = docs.groupBy(F.col(source).alias("__source")).agg(F.sum(n_words(text)).alias("source_size"))
+    sizes = docs.select(col(source).alias("__source"), n_words(text).alias("size")).groupBy("__source").agg(F.sum("size").alias("source_size"))
     rates = written(targets(sizes, "__source", **how), "targets").select("__source", "rate")
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(source).alias("__source"), F.col(doc_id).alias("__id"))
+    rows = docs.select(row(docs), col(source).alias("__source"), col(doc_id).alias("__id"))
     rows = with_small(rows, rates, ["__source"]).withColumn("__n", copies("__id").cast("int")).where(F.col("__n") > 0)
     return rows.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select("__row.*")
 

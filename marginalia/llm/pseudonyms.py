@@ -15,8 +15,13 @@ equal pseudonyms in all documents, different values different ones, and only the
   date   year, month, day with - / or . between, 1800 to 2199, as a real day; becomes another day of that range
   email  letters and digits of the local part; the domain stays
 
-Edge cases: a null text stays null and an empty one empty, with counts 0; repeated rows are treated alike; columns of
-the input named like the counts give way; others pass through; an empty table gives an empty table.
+A half of a network may be empty, as that of a one-letter local part: the digest of the other then depends on the key and
+the round alone, which shifts all such values by the same, so the letters of such a name stay distinguishable.
+
+Edge cases: a null text stays null and an empty one empty, with counts 0; repeated rows are treated alike; candidates
+that overlap tie in the order of the kinds' patterns; a very long text is searched whole, in time in proportion to its
+length; columns of the input named like the counts give way; others pass through, whatever their names; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import table
+from marginalia.llm.common import col, table
 
 KEY = "marginalia-demo-key"
 ROUNDS = 8
@@ -229,17 +234,18 @@ def _parts_of_run(run: Column) -> Column:
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """docs with the text replaced, and the number of values of each kind (n_card, n_phone, ...) and together."""
     counts = [*(f"n_{k}" for k in sorted(KINDS)), "n_values"]
-    rows = docs.drop(*[c for c in docs.columns if c in counts])
-    names = rows.columns
-    rows = rows.withColumn("__found", F.when(F.col(text).rlike(_ANY), F.regexp_extract_all(F.col(text), F.lit(_ANY), 0)).otherwise(F.array().cast("array<string>")))
+    names = [c for c in docs.columns if c not in counts]
+    none = F.array().cast("array<string>")
+    rows = docs.select(F.struct(*[col(c).alias(c) for c in names]).alias("row"), col(text).alias("text"))
+    rows = rows.withColumn("found", F.when(F.col("text").rlike(_ANY), F.regexp_extract_all("text", F.lit(_ANY), 0)).otherwise(none))
     parts = lambda v: F.when(v.rlike(f"^{RUN}$") & v.rlike("(?:[0-9][ -]?){13}"), _parts_of_run(v)).otherwise(F.array(_part(v, False)))
     made = lambda x: F.when(x["plain"], _plain(x["value"])).otherwise(pseudonym(x["value"], key))
-    rows = rows.withColumn("__new", F.transform(F.coalesce("__found", F.array().cast("array<string>")), lambda v: F.transform(parts(v), made)))
-    joined = F.array_join(F.transform(F.split(F.col(text), _ANY, -1), lambda gap, i: F.concat(gap, F.coalesce(F.array_join(F.get(F.col("__new"), i)["value"], ""), F.lit("")))), "")
-    shown = F.when(F.size("__new") > 0, joined).otherwise(F.col(text)).alias(text)
-    of = lambda k: F.size(F.filter(F.flatten("__new"), lambda x: x["kind"] == F.lit(k))).cast("long").alias(f"n_{k}")
-    total = F.size(F.filter(F.flatten("__new"), lambda x: x["kind"].isNotNull())).cast("long").alias("n_values")
-    return rows.select(*[shown if c == text else c for c in names], *[of(k) for k in sorted(KINDS)], total)
+    rows = rows.withColumn("new", F.transform(F.coalesce("found", none), lambda v: F.transform(parts(v), made)))
+    joined = F.array_join(F.transform(F.split("text", _ANY, -1), lambda gap, i: F.concat(gap, F.coalesce(F.array_join(F.get(F.col("new"), i)["value"], ""), F.lit("")))), "")
+    shown = F.when(F.size("new") > 0, joined).otherwise(F.col("text")).alias(text)
+    of = lambda k: F.size(F.filter(F.flatten("new"), lambda x: x["kind"] == F.lit(k))).cast("long").alias(f"n_{k}")
+    total = F.size(F.filter(F.flatten("new"), lambda x: x["kind"].isNotNull())).cast("long").alias("n_values")
+    return rows.select(*[shown if c == text else F.col("row")[c].alias(c) for c in names], *[of(k) for k in sorted(KINDS)], total)
 
 
 def op4_pseudonyms(spark, sf_dir: str) -> DataFrame:
