@@ -15,9 +15,6 @@ equal pseudonyms in all documents, different values different ones, and only the
   date   year, month, day with - / or . between, 1800 to 2199, as a real day; becomes another day of that range
   email  letters and digits of the local part; the domain stays
 
-A half of a network may be empty, as that of a one-letter local part: the digest of the other then depends on the key and
-the round alone, which shifts all such values by the same, so the letters of such a name stay distinguishable.
-
 Edge cases: a null text stays null and an empty one empty, with counts 0; repeated rows are treated alike; candidates
 that overlap tie in the order of the kinds' patterns; a very long text is searched whole, in time in proportion to its
 length; columns of the input named like the counts give way; others pass through, whatever their names; an empty table
@@ -33,6 +30,8 @@ from marginalia.llm.common import col, table
 
 KEY = "marginalia-demo-key"
 ROUNDS = 8
+#: Components that one digest moves, by 16 bits each.
+DRAWN = 16
 FIRST_YEAR = "1800-01-01"
 #: 400 years of the calendar always have 146,097 days, which is 189 * 773.
 DAY_MODULI = (189, 773)
@@ -75,18 +74,27 @@ def _digits(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)).cast("int"))
 
 
+def _permuted(part: Column, modulus: Column, kind: str, key: str) -> Column:
+    """A value alone has no second half: the values below the modulus, in the order of keyed digests."""
+    drawn = F.transform(F.sequence(F.lit(0), modulus - 1), lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), modulus.cast("string"), i.cast("string")), 256).alias("d"), i.cast("int").alias("i")))
+    return F.array(F.get(F.array_sort(drawn), part)["i"])
+
+
 def feistel(parts: Column, moduli: Column, kind: str, key: str) -> Column:
     """parts: array of int, each below its modulus; returns such an array."""
     half = F.floor(F.size(parts) / 2).cast("int")
     rest = F.size(parts) - half
 
     def add(acc, r):
-        digest = F.sha2(F.concat(F.lit(f"{key}|{kind}|"), r.cast("string"), F.lit(":"), F.array_join(acc["b"].cast("array<string>"), ",")), 256)
-        moved = F.transform(acc["a"], lambda x, i: F.pmod(x + F.conv(F.substr(digest, F.pmod(i, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int"), acc["ma"][i]))
+        seed = F.concat(F.lit(f"{key}|{kind}|"), r.cast("string"), F.lit(":"), F.array_join(acc["b"].cast("array<string>"), ","), F.lit(":"))
+        digests = F.transform(F.sequence(F.lit(0), F.floor(F.size(acc["a"]) / DRAWN).cast("int")), lambda k: F.sha2(F.concat(seed, k.cast("string")), 256))
+        drawn = lambda d, i: F.conv(F.substr(F.get(d, F.floor(i / DRAWN).cast("int")), F.pmod(i, F.lit(DRAWN)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        moved = _let(digests, lambda d: F.transform(acc["a"], lambda x, i: F.pmod(x + drawn(d, i), acc["ma"][i])))
         return F.struct(acc["b"].alias("a"), acc["mb"].alias("ma"), moved.alias("b"), acc["ma"].alias("mb"))
 
     start = F.struct(F.slice(parts, F.lit(1), half).alias("a"), F.slice(moduli, F.lit(1), half).alias("ma"), F.slice(parts, half + 1, rest).alias("b"), F.slice(moduli, half + 1, rest).alias("mb"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, add, lambda acc: F.concat(acc["a"], acc["b"]))
+    many = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, add, lambda acc: F.concat(acc["a"], acc["b"]))
+    return F.when(F.size(parts) == 1, _permuted(parts[0], moduli[0], kind, key)).otherwise(many)
 
 
 def _check_digit(payload: Column) -> Column:

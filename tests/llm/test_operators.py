@@ -1,6 +1,7 @@
 """Operators against brute force, and the edge cases their docstrings define."""
 
 import base64
+import datetime
 import hashlib
 import random
 import re
@@ -400,6 +401,70 @@ def test_pseudonyms(spark):
     assert len(set(made)) == 2000 and all(re.fullmatch(r"(18|19|20|21)\d\d-\d\d-\d\d", x) for x in made)
 
 
+def test_pseudonyms_equal_a_second_network(spark):
+    """Values made anew by a Feistel network in plain Python."""
+    key, sha = pseudonyms.KEY, lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def network(kind, parts, moduli):
+        if len(parts) == 1:
+            return [sorted(range(moduli[0]), key=lambda i: sha(f"{key}|{kind}|{moduli[0]}|{i}"))[parts[0]]]
+        half = len(parts) // 2
+        a, ma, b, mb = parts[:half], moduli[:half], parts[half:], moduli[half:]
+        for r in range(1, 9):
+            seed = f"{key}|{kind}|{r}:{','.join(map(str, b))}:"
+            moved = [(x + int(sha(f"{seed}{i // 16}")[i % 16 * 4 :][:4], 16)) % m for i, (x, m) in enumerate(zip(a, ma))]
+            a, ma, b, mb = b, mb, moved, ma
+        return a + b
+
+    def email(v):
+        local, domain = v.split("@")
+        free = [c for c in local if c.isalnum()]
+        base = [97 if c.islower() else 65 if c.isupper() else 48 for c in free]
+        new = iter(network("email", [ord(c) - x for c, x in zip(free, base)], [10 if x == 48 else 26 for x in base]))
+        low = iter(base)
+        return "".join(chr(next(new) + next(low)) if c.isalnum() else c for c in local) + "@" + domain
+
+    def date(v):
+        n = (datetime.date.fromisoformat(v) - datetime.date(1800, 1, 1)).days
+        a, b = network("date", [n // 773, n % 773], [189, 773])
+        return str(datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b))
+
+    def ip(v):
+        return ".".join(map(str, network("ip", [int(x) for x in v.split(".")], [256] * 4)))
+
+    def ssn(v):
+        a, g, s = map(int, v.split("-"))
+        a, g, s = network("ssn", [a - 2 if a > 666 else a - 1, g - 1, s - 1], [898, 99, 9999])
+        return f"{a + 2 if a >= 665 else a + 1:03}-{g + 1:02}-{s + 1:04}"
+
+    def phone(v):
+        d = [int(c) - 2 * (i in (0, 3)) for i, c in enumerate(v.replace("-", ""))]
+        d = network("phone", d, [8 if i in (0, 3) else 10 for i in range(10)])
+        d = "".join(str(c + 2 * (i in (0, 3))) for i, c in enumerate(d))
+        return f"{d[:3]}-{d[3:6]}-{d[6:]}"
+
+    def luhn(payload):
+        return -sum(sum(divmod(d * (2 - i % 2), 10)) for i, d in enumerate(reversed(payload))) % 10
+
+    def card(v):
+        d = network("card", [int(c) for c in v[:-1]], [10] * (len(v) - 1))
+        return "".join(map(str, [*d, luhn(d)]))
+
+    rng = random.Random(9)
+    cases = [(email, x) for x in ("a@b.org", "Z@b.org", "7@b.org", "a.B9+c@site.example.org", "q" * 40 + "XY1@b.org")] + [(date, x) for x in ("1999-02-28", "1800-01-01", "2024-02-29")]
+    cases += [(ip, "10.0.0.255"), (ssn, "123-45-6789"), (ssn, "899-99-9999"), (phone, "415-555-0134")]
+    for n in (13, 15, 16, 19):
+        payload = [4, *(rng.randrange(10) for _ in range(n - 2))]
+        cases.append((card, "".join(map(str, [*payload, luhn(payload)]))))
+    df = spark.createDataFrame([(i, f"see {v} there") for i, (_, v) in enumerate(cases)], "doc_id int, text string")
+    for r in pseudonyms.pseudonymize(df).collect():
+        make, value = cases[r.doc_id]
+        assert r.text == f"see {make(value)} there", (make.__name__, value)
+    singles = spark.range(62).selectExpr("id AS doc_id", "concat(substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', id + 1, 1), '@b.org') AS text")
+    rows = pseudonyms.pseudonymize(singles).orderBy("doc_id").collect()
+    assert len({r.text for r in rows}) == 62 and len({(ord(r.text[0]) - 97 - i) % 26 for i, r in enumerate(rows[:26])}) > 3
+
+
 def test_cards_beside_other_numbers(spark):
     card, other = "4111 1111 1111 1111", "5500 0000 0000 0004"
     texts = [card, f"{card} 12/27", f"{card} 123", f"no 12 {card}", f"123456 {card}", f"12 {card} 2024-05-06", f"7 {card} {other} 99", f"{card} 12a", "1 " * 5000 + card, "12 2000 0000 0000 000", "4111-1111-1111-1111-12"]
