@@ -2,10 +2,12 @@
 
 Every stage works on all documents its predecessor kept, and every stage but the last returns the columns of
 ``documents``. Stages are separated by Parquet in the shared scratch folder, so a lost executor costs at most tasks of
-one stage.
+one stage; what a stage has read is removed when the next one's input is written.
 
-Edge cases: null texts have no words and go with the quality rules; an empty table runs through all stages and gives
-an empty table; further columns, whatever their names, pass through to the last stage.
+Edge cases, for every stage: null texts have no words and go with the quality rules; a null id or host is one of its
+own; of documents that tie as near duplicates, the smallest id stays, and fully repeated rows stay or go together;
+mixing draws by id, so rows of one id get as many copies each; very long texts are taken whole; an empty table runs
+through all stages and gives an empty table; further columns, whatever their names, pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import decontaminate, host_rules, mixing, near_dups, token_files
-from marginalia.llm.common import table, written
+from marginalia.llm.common import discard, table, written
 
 NEAR_DUP_PCT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose host's shrunk failure rate is low enough."""
+    """Documents that pass the base rules, on strict hosts the further rules too, and whose host is not bad."""
     return host_rules.keep_good(docs)
 
 
@@ -50,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
