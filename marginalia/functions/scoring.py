@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The half and the one of the formula, df bounded by the documents, 1 for an average length of 0.
+
+
 def idf(n_docs: int, df: int) -> float:
     df = min(df, n_docs)
     return math.log(1 + (n_docs - df + 0.5) / (df + 0.5))
@@ -16,9 +19,3 @@ def idf(n_docs: int, df: int) -> float:
 def term_score(weight: Column, tf: Column, length: Column, average: Column, k1: Column, b: Column) -> Column:
     norm = F.when(average > 0, length / average).otherwise(F.lit(1.0))
     return weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm))
-
-
-def score(n_docs: int, df: int, tf: float, length: float, average: float, k1: float = 1.2, b: float = 0.75) -> float:
-    """One term's score, on the driver."""
-    norm = length / average if average > 0 else 1.0
-    return idf(n_docs, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm))

@@ -9,9 +9,11 @@ take part.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.errors import SearchError
@@ -47,6 +49,18 @@ class Ranking:
         if self.phrase_fallback not in ("error", "and"):
             raise SearchError("phrase_fallback is error or and")
 
+    def check(self, fields: list[str]) -> Ranking:
+        """Warn of options for fields that are none."""
+        for name in dict.fromkeys([*self.boosts, *self.k1_of, *self.b_of]):
+            if name not in fields:
+                warnings.warn(f'an option names "{name}", which is no field', stacklevel=3)
+        return self
+
+
+def _how(source: Postings, how: Ranking | None) -> Ranking:
+    """The query's options, or those that the source has of its own."""
+    return (how or Ranking(**source.options)).check(source.fields)
+
 
 def expand(source: Postings, pattern: str, limit: int = Q.MAX_EXPANSIONS) -> list[str]:
     """Terms of the dictionary that a pattern with * matches; more than limit are an error."""
@@ -99,63 +113,100 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def ranked(source: Postings, query, how: Ranking | None = None) -> DataFrame:
-    """doc_id and score of every document that matches the query, in no order."""
-    how = how or Ranking()
-    tree = Q.parse(query, source.fields)
-    bits = resolved(source, tree, how)
-    spark = source.lengths().sparkSession
-    terms = list(dict.fromkeys(t for x in bits for t in x.terms))
-    nothing = spark.createDataFrame([], "doc_id long, score double")
-    if not terms:
-        return nothing
-    found = source.postings(terms)
-    df = {(r.term, r.field_id): r.n for r in found.groupBy("term", "field_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weights = []
-    for x in bits:
-        for t in x.terms:
-            for f, name in enumerate(source.fields):
-                if (t, f) in df and x.leaf.field in (None, name):
-                    n_docs, average = source.field_stats[f]
-                    weight = 0.0 if x.negated else x.boost * how.boosts.get(name, 1.0) * idf(n_docs, df[t, f])
-                    weights.append((t, f, x.bit, x.flag, weight, float(average), float(how.k1_of.get(name, how.k1)), float(how.b_of.get(name, how.b))))
-    if not weights:
-        return nothing
-    table = spark.createDataFrame(weights, "w_term string, w_field int, bit int, flag long, weight double, average double, k1 double, b double")
+def _weights(source: Postings, entries: list[tuple], found: DataFrame, how: Ranking) -> list[tuple]:
+    """For each (label, term, field or None, weight): rows of label, term, field number, weight times boost and idf,
+    average length, k1, b, for the fields that have the term. found: postings, or impacts that count them."""
+    n = F.sum("n") if "n" in found.columns else F.count(F.lit(1))
+    df = {(r.term, r.field_id): r.n for r in found.groupBy("term", "field_id").agg(n.alias("n")).collect()}
+    out = []
+    for label, t, scope, weight in entries:
+        for f, name in enumerate(source.fields):
+            if (t, f) in df and scope in (None, name):
+                n_docs, average = source.field_stats[f]
+                out.append((label, t, f, weight * how.boosts.get(name, 1.0) * idf(n_docs, df[t, f]), float(average), float(how.k1_of.get(name, how.k1)), float(how.b_of.get(name, how.b))))
+    return out
+
+
+WEIGHTS = "w_term string, w_field int, weight double, average double, k1 double, b double"
+
+
+def _on() -> Column:
+    return (F.col("term") == F.col("w_term")) & (F.col("field_id") == F.col("w_field"))
+
+
+def _value(tf: str = "tf", dl: str = "dl") -> Column:
+    return term_score(F.col("weight"), F.col(tf), F.col(dl), F.col("average"), F.col("k1"), F.col("b"))
+
+
+def _nothing(source: Postings, more: str = "") -> DataFrame:
+    return SparkSession.active().createDataFrame([], f"doc_id {source.key_type}{more}")
+
+
+def _evaluated(source: Postings, tree, bits: list[Q.Bit], found: DataFrame, table: DataFrame, score: Column | None) -> DataFrame:
+    """Documents whose hits fulfil the tree, with their score if asked for. table: w_term, w_field, bit and flag."""
     phrases = [x for x in bits if x.leaf.kind == "phrase" and len(x.terms) > 1]
     exact = [x for x in phrases if source.store_positions]
-    if not exact:
-        found = found.drop("positions")
-    hits = found.join(F.broadcast(table), (F.col("term") == F.col("w_term")) & (F.col("field_id") == F.col("w_field")))
-    part = term_score(F.col("weight"), F.col("tf"), F.col("dl"), F.col("average"), F.col("k1"), F.col("b"))
-    negated = [x.bit for x in bits if x.negated]
-    scores = F.sum(F.when(~F.col("bit").isin(negated), part) if negated else part)
-    flags = F.bit_or("flag")
+    hits = (found if exact else found.drop("positions")).join(F.broadcast(table), _on())
     # words of a phrase without positions must all be there
     more = [F.count_distinct(F.when(F.col("bit") == x.bit, F.col("term"))).alias(f"n{x.bit}") for x in phrases if x not in exact]
     where = {(t, f): f"p{i}" for i, (t, f) in enumerate(dict.fromkeys((t, f) for x in exact for t in x.terms for f in range(len(source.fields)) if x.leaf.field in (None, source.fields[f])))}
     more += [F.first(F.when((F.col("term") == t) & (F.col("field_id") == f), F.col("positions")), ignorenulls=True).alias(c) for (t, f), c in where.items()]
-    docs = hits.groupBy("doc_id").agg(scores.alias("score"), flags.alias("flags"), *more)
+    scores = [] if score is None else [score.alias("score")]
+    docs = hits.groupBy("doc_id").agg(F.bit_or("flag").alias("flags"), *scores, *more)
     conditions = []
     for x in bits:
         c = F.col("flags").bitwiseAND(F.lit(x.flag).cast("long")) != 0
         if x in exact:
-            some = F.lit(False)
+            c = F.lit(False)
             for f, name in enumerate(source.fields):
                 if x.leaf.field in (None, name):
-                    some = some | _near(x.terms, lambda t, f=f: F.coalesce(F.col(where[t, f]), F.array().cast("array<int>")), x)
-            c = some
+                    c = c | _near(x.terms, lambda t, f=f: F.coalesce(F.col(where[t, f]), F.array().cast("array<int>")), x)
         elif x in phrases:
             c = F.col(f"n{x.bit}") == len(set(x.terms))
         conditions.append(c)
-    return docs.where(Q.formula(tree, conditions) & F.col("score").isNotNull()).select("doc_id", "score")
+    # a document that no leaf but an excluding one has hit is no match
+    some = F.col("flags").bitwiseAND(F.lit(sum(x.flag for x in bits if not x.negated)).cast("long")) != 0
+    return docs.where(Q.formula(tree, conditions) & some).select("doc_id", *["score"] * bool(scores))
+
+
+def ranked(source: Postings, query, how: Ranking | None = None) -> DataFrame:
+    """doc_id and score of every document that matches the query, in no order."""
+    how = _how(source, how)
+    tree = Q.parse(query, source.fields)
+    bits = resolved(source, tree, how)
+    terms = list(dict.fromkeys(t for x in bits for t in x.terms))
+    if not terms:
+        return _nothing(source, ", score double")
+    found = source.postings(terms)
+    flags = {x.bit: x.flag for x in bits}
+    rows = _weights(source, [(x.bit, t, x.leaf.field, 0.0 if x.negated else x.boost) for x in bits for t in x.terms], found, how)
+    if not rows:
+        return _nothing(source, ", score double")
+    table = found.sparkSession.createDataFrame([(*r, flags[r[0]]) for r in rows], f"bit int, {WEIGHTS}, flag long")
+    negated = [x.bit for x in bits if x.negated]
+    return _evaluated(source, tree, bits, found, table, F.sum(F.when(~F.col("bit").isin(negated), _value()) if negated else _value()))
+
+
+def _matched(source: Postings, query) -> DataFrame:
+    """Ids of the documents that match one query: no statistics are read and nothing is scored."""
+    tree = Q.parse(query, source.fields)
+    bits = resolved(source, tree, Ranking(**source.options))
+    terms = list(dict.fromkeys(t for x in bits for t in x.terms))
+    if not terms:
+        return _nothing(source)
+    found = source.postings(terms)
+    if isinstance(tree, Q.Leaf) and (tree.kind != "phrase" or len(bits[0].terms) < 2):
+        rows = found if tree.field is None else found.where(F.col("field_id") == source.fields.index(tree.field))
+        return rows.select("doc_id").distinct()
+    rows = [(t, f, x.bit, x.flag) for x in bits for t in x.terms for f, name in enumerate(source.fields) if x.leaf.field in (None, name)]
+    return _evaluated(source, tree, bits, found, found.sparkSession.createDataFrame(rows, "w_term string, w_field int, bit int, flag long"), None)
 
 
 def matching(source: Postings, *queries) -> DataFrame:
     """doc_ids that match every query. A null query matches nothing."""
     out = None
     for q in queries:
-        one = ranked(source, q).select("doc_id") if q is not None else source.lengths().select("doc_id").limit(0)
+        one = _matched(source, q) if q is not None else _nothing(source)
         out = one if out is None else out.join(one, "doc_id", "left_semi")
     return out
 
@@ -167,10 +218,10 @@ def top(rows: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame
     return rows if limit is None else rows.limit(limit)
 
 
-def search(source: Postings, order_by, where=None, limit: int | None = None, offset: int = 0, how: Ranking | None = None, after: tuple[float, int] | None = None) -> DataFrame:
+def search(source: Postings, order_by, where=None, limit: int | None = None, offset: int = 0, how: Ranking | None = None, after: tuple | None = None) -> DataFrame:
     """doc_id, score, distance in the order of the ranking. With ``where`` (a query or several), its matches are the
     result, and those that order_by does not match come last with a null score and infinite distance. ``after``
-    continues behind a score and id already shown."""
+    continues behind a score (null for those without) and id already shown."""
     filters = [] if where is None else list(where) if isinstance(where, (list, tuple)) else [where]
     same = filters == [order_by]
     rows = ranked(source, order_by, how) if order_by is not None else None
@@ -180,12 +231,24 @@ def search(source: Postings, order_by, where=None, limit: int | None = None, off
     if rows is None:
         rows = source.lengths().select("doc_id", F.lit(None).cast("double").alias("score"))
     if after is not None:
-        rows = rows.where((F.col("score") < after[0]) | (F.col("score") == after[0]) & (F.col("doc_id") > after[1]))
+        score, last = after
+        unscored = F.col("score").isNull()
+        later = F.col("doc_id") > last
+        rows = rows.where(unscored & later if score is None else unscored | (F.col("score") < score) | (F.col("score") == score) & later)
     return top(rows.withColumn("distance", F.coalesce(-F.col("score"), F.lit(float("inf")))), limit, offset)
 
 
-def matches_text(text: Column, query: str, analyzer) -> Column:
+def append_top(sources: list[Postings], query, limit: int | None = None, how: Ranking | None = None) -> DataFrame:
+    """source (number), doc_id, score: one ranking over several indexes, each scored by statistics of its own."""
+    rows = [ranked(x, query, how).select(F.lit(i).alias("source"), "doc_id", "score") for i, x in enumerate(sources)]
+    out = reduce(DataFrame.unionByName, rows).orderBy(F.desc("score"), "source", "doc_id")
+    return out if limit is None else out.limit(limit)
+
+
+def matches_text(text: Column, query, analyzer) -> Column:
     """The match as a plain filter, without an index: whether a text shares a term with a query of words."""
+    if not isinstance(query, str) or Q.is_json(query):
+        raise SearchError("a query tree needs an index", "0A000")
     if query.strip().startswith('"'):
         raise SearchError("a phrase needs an index", "0A000")
     if (m := Q._SCOPE.match(query)) is not None:
@@ -196,47 +259,54 @@ def matches_text(text: Column, query: str, analyzer) -> Column:
     return F.coalesce(F.arrays_overlap(analyzer.terms(text), F.array(*[F.lit(t) for t in terms]).cast("array<string>")), F.lit(False)) if terms else F.lit(False)
 
 
-def score_by_key(keys: DataFrame, key: str, doc_id: str, rows: DataFrame) -> DataFrame:
-    """keys (doc_id and a key) with the score of each key: null where the documents of one key differ in theirs."""
-    scored = keys.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(key).alias("key")).join(rows.select("doc_id", "score"), "doc_id")
+def score_by_key(keys: DataFrame, key: str, doc_id: str, *rankings: DataFrame) -> DataFrame:
+    """keys (doc_id and a key) with the score of each key in one ranking or several: null where the documents of one
+    key, or the rankings, differ in theirs."""
+    rows = reduce(DataFrame.unionByName, [r.select("doc_id", "score") for r in rankings])
+    scored = keys.select(F.col(doc_id).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.col(key).alias("key")).join(rows, "doc_id")
     return scored.groupBy("key").agg(F.when(F.min("score") == F.max("score"), F.max("score")).alias("score"))
 
 
 def batch(source: Postings, queries: dict[int, str], k: int, how: Ranking | None = None) -> DataFrame:
-    """qid, rank, doc_id, score: the best k of each of many word queries, in one pass over the postings of all."""
-    how = how or Ranking()
-    leaves = [(qid, leaf.field, t) for qid, q in queries.items() for leaf in [Q.from_text(q, source.fields)] for t in source.analyzer.of(leaf.text)]
-    spark = source.lengths().sparkSession
-    found = source.postings(list(dict.fromkeys(t for *_, t in leaves))).drop("positions")
-    df = {(r.term, r.field_id): r.n for r in found.groupBy("term", "field_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = [(qid, t, f, how.boosts.get(n, 1.0) * idf(source.field_stats[f][0], df[t, f]), float(source.field_stats[f][1]), float(how.k1_of.get(n, how.k1)), float(how.b_of.get(n, how.b))) for qid, scope, t in leaves for f, n in enumerate(source.fields) if (t, f) in df and scope in (None, n)]
-    table = spark.createDataFrame(rows, "qid long, w_term string, w_field int, weight double, average double, k1 double, b double")
-    hits = found.join(F.broadcast(table), (F.col("term") == F.col("w_term")) & (F.col("field_id") == F.col("w_field")))
-    scored = hits.groupBy("qid", "doc_id").agg(F.sum(term_score(F.col("weight"), F.col("tf"), F.col("dl"), F.col("average"), F.col("k1"), F.col("b"))).alias("score"))
+    """qid, rank, doc_id, score: the best k of each of many queries. Those of words take one pass over the postings of
+    all; phrases and trees, which are conditions besides, take one each."""
+    how = _how(source, how)
+    trees = {qid: Q.parse(q, source.fields) for qid, q in queries.items()}
+    words = {qid: t for qid, t in trees.items() if isinstance(t, Q.Leaf) and t.kind == "match"}
+    entries = [(qid, t, leaf.field, 1.0) for qid, leaf in words.items() for t in source.analyzer.of(leaf.text)]
+    parts = [ranked(source, t, how).select(F.lit(qid).cast("long").alias("qid"), "doc_id", "score") for qid, t in trees.items() if qid not in words]
+    if entries:
+        found = source.postings(list(dict.fromkeys(t for _, t, *_ in entries))).drop("positions")
+        table = found.sparkSession.createDataFrame(_weights(source, entries, found, how), f"qid long, {WEIGHTS}")
+        parts.append(found.join(F.broadcast(table), _on()).groupBy("qid", "doc_id").agg(F.sum(_value()).alias("score")))
+    scored = reduce(DataFrame.unionByName, parts or [_nothing(source, ", qid long, score double")])
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
 
 
-def block_impacts(source: Postings, terms: list[str] | None = None, size: int = 128) -> DataFrame:
-    """term, field_id, block (of doc_id // size), n, max_tf, min_dl: what bounds the scores in a block from above."""
-    rows = source.postings(terms).groupBy("term", "field_id", F.floor(F.col("doc_id") / size).alias("block"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+def block_impacts(source: Postings, terms: list[str] | None = None) -> DataFrame:
+    """term, field_id, block, n, max_tf, min_dl: what bounds the scores in a block from above. An index stores them."""
+    return source.impacts(terms)
 
 
-def pruned_top(source: Postings, words: str, k: int, how: Ranking | None = None, size: int = 128) -> DataFrame:
+def pruned_top(source: Postings, words: str, k: int, how: Ranking | None = None) -> DataFrame:
     """The same rows as top(ranked(words), k), from those blocks alone whose bound reaches the k-th score of the
-    blocks with the best bounds."""
-    how = how or Ranking()
-    terms = source.analyzer.of(words)
-    bits = {(t, f): terms.count(t) for t in terms for f in range(len(source.fields))}
-    found = source.postings(list(dict.fromkeys(terms))).drop("positions").withColumn("block", F.floor(F.col("doc_id") / size))
-    df = {(r.term, r.field_id): r.n for r in found.groupBy("term", "field_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = [(t, f, n * how.boosts.get(source.fields[f], 1.0) * idf(source.field_stats[f][0], df[t, f]), float(source.field_stats[f][1])) for (t, f), n in bits.items() if (t, f) in df]
-    table = found.sparkSession.createDataFrame(rows, "w_term string, w_field int, weight double, average double")
-    on = (F.col("term") == F.col("w_term")) & (F.col("field_id") == F.col("w_field"))
-    value = lambda tf, dl: term_score(F.col("weight"), F.col(tf), F.col(dl), F.col("average"), F.lit(how.k1), F.lit(how.b))
-    bounds = block_impacts(source, list(dict.fromkeys(terms)), size).join(F.broadcast(table), on).groupBy("block").agg(F.sum(value("max_tf", "min_dl")).alias("bound"))
-    scored = lambda blocks: found.join(blocks, "block", "left_semi").join(F.broadcast(table), on).groupBy("doc_id").agg(F.sum(value("tf", "dl")).alias("score"))
+    blocks with the best bounds. Bounds come from the stored impacts; postings are read of the chosen blocks only."""
+    how = _how(source, how)
+    leaf = Q.parse(words, source.fields)
+    if not isinstance(leaf, Q.Leaf) or leaf.kind != "match":
+        raise SearchError("pruning is for queries of words", "0A000")
+    terms = list(dict.fromkeys(source.analyzer.of(leaf.text)))
+    if not terms:
+        return top(_nothing(source, ", score double"), k)
+    impacts = source.impacts(terms)
+    # stored impacts count deleted documents too
+    rows = _weights(source, [(0, t, leaf.field, 1.0) for t in source.analyzer.of(leaf.text)], impacts if source.counts_live else source.postings(terms), how)
+    if not rows:
+        return top(_nothing(source, ", score double"), k)
+    table = impacts.sparkSession.createDataFrame(rows, f"label int, {WEIGHTS}").groupBy("w_term", "w_field", "average", "k1", "b").agg(F.sum("weight").alias("weight"))
+    bounds = impacts.join(F.broadcast(table), _on()).groupBy("block").agg(F.sum(_value("max_tf", "min_dl")).alias("bound"))
+    scored = lambda blocks: source.in_blocks(terms, blocks).join(F.broadcast(table), _on()).groupBy("doc_id").agg(F.sum(_value()).alias("score"))
     best = top(scored(bounds.orderBy(F.desc("bound"), "block").limit(k).select("block")), k).collect()
     floor = best[-1].score if len(best) == k else 0.0
     return top(scored(bounds.where(F.col("bound") >= floor * (1 - 1e-9)).select("block")), k)
