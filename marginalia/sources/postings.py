@@ -332,15 +332,15 @@ class Index(Postings):
         def summed(rows):
             return rows.groupBy("term", "field_id", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
 
-        if any(s.get("format", 1) < 2 for s in self.meta["segments"]):
+        if self._without_blocks:
             return summed(self._all_postings(terms))
         schema = "term string, field_id int, block long, n long, max_tf int, min_dl int"
         return self._live("impacts", schema, None if terms is None else F.col("term").isin(list(terms)), lambda f: summed(inverted(f, self.store_positions, terms)))
 
     def in_blocks(self, terms: list[str], blocks: DataFrame, size: int = BLOCK) -> DataFrame:
         """Postings of the terms in blocks of impacts(); few blocks reach the Parquet reader, which skips the others."""
-        some = blocks.limit(MANY_BLOCKS + 1).collect()
-        if len(some) > MANY_BLOCKS:
+        some = [] if self._without_blocks else blocks.limit(MANY_BLOCKS + 1).collect()
+        if self._without_blocks or len(some) > MANY_BLOCKS:
             return self._all_postings(terms).join(blocks, "block", "left_semi").select(*POSTING)
         numbers = F.col("block").isin([r.block["block"] for r in some])
         chosen = self.spark.createDataFrame(some, blocks.schema)
@@ -405,6 +405,10 @@ class Index(Postings):
         self._publish(segments=[*rest, new | {"born": self.meta["version"]}], deletes=deletes)
         return len(chosen)
 
+    @property
+    def _without_blocks(self) -> bool:
+        return any(s.get("format", 1) < 2 for s in self.meta["segments"])
+
     @property
     def counts_live(self) -> bool:
         return not self.meta["deletes"]
