@@ -40,6 +40,8 @@ from marginalia.llm.workers import lean
 TREES, DEPTH, MIN_DEPTH, AGREE = 14, 12, 2, 6
 LEAF, NEAR, HUBS = 16, 1, 1
 SIMILARITY_PCT = 85
+#: Rows from which on copies of one text are joined with their component apart from the others.
+HOT_ROWS = 10_000
 #: Candidates confirmed in one group, and shingles of their texts.
 GROUP, GROUP_SHINGLES = 300, 4 << 20
 #: A family is cut into PARTS parts by nodes, though of LEAST_BLOCK to BLOCK nodes each; blocks are pairs of parts.
@@ -414,20 +416,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Jaccard similarity), kept (it is that document)."""
     rows = signatures(docs, doc_id, text)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(first, F.min("sketch").alias("sketch"), F.min("n_shingles").alias("size")), "classes")
+    classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(first, F.min("sketch").alias("sketch"), F.min("n_shingles").alias("size"), F.count(F.lit(1)).alias("n_rows")), "classes")
     pairs = written(candidates(classes), "candidates")
     links = confirmed(docs, classes, pairs, doc_id, text, pct)
     labels = components(links)
     nodes = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
     discard(classes, pairs, links, labels)
     more = rest(docs, nodes, doc_id, text, pct)
-    owner = nodes.select("node", F.col("first.doc_id").alias("own"), "label")
+    owner = nodes.select("node", "n_rows", F.col("first.doc_id").alias("own"), "label")
     if more is not None:
         wider = components(more).select(F.col("node").alias("label"), F.col("label").alias("wider"))
-        owner = with_small(owner, wider, ["label"]).select("node", "own", F.coalesce("wider", "label").alias("label"))
+        owner = with_small(owner, wider, ["label"]).select("node", "n_rows", "own", F.coalesce("wider", "label").alias("label"))
     lowest = written(owner.groupBy("label").agg(F.min("own").alias("component_id")), "lowest")
-    owner = written(with_small(owner, lowest, ["label"]).select("node", "component_id"), "components")
-    out = with_small(rows.select("doc_id", "text_hash", "n_shingles", "node").where("node IS NOT NULL"), owner, ["node"])
+    owner = written(with_small(owner, lowest, ["label"]).select("node", "n_rows", "component_id"), "components")
+    # texts with very many copies are few: their rows find them by a broadcast, and no partition of the rest is hot
+    hot = owner.where(F.col("n_rows") >= HOT_ROWS).select("node", F.struct("component_id").alias("hot"))
+    out = with_small(rows.select("doc_id", "text_hash", "n_shingles", "node").where("node IS NOT NULL"), hot, ["node"])
+    cool = with_small(out.where("hot IS NULL").drop("hot"), owner.where(F.col("n_rows") < HOT_ROWS).select("node", "component_id"), ["node"], salts=1)
+    out = out.where("hot IS NOT NULL").withColumn("component_id", F.col("hot.component_id")).drop("hot").unionByName(cool)
     alone = rows.where("node IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     out = out.select("doc_id", "text_hash", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -71,8 +71,9 @@ def test_shingle_hashes_stand_for_shingles(docs):
     assert set(sets[-3].tolist()) == set(sets[-2].tolist())
 
 
-@pytest.mark.parametrize("pct", [80, 85])
-def test_near_duplicates(docs, pct):
+@pytest.mark.parametrize("pct, hot", [(80, 10_000), (85, 10_000), (85, 2)])
+def test_near_duplicates(docs, pct, hot, monkeypatch):
+    monkeypatch.setattr(near_dups, "HOT_ROWS", hot)
     rows, df = docs
     got = near_dups.near_duplicates(df, pct=pct).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted((tuple(r)[:3] for r in got), key=order) == sorted(components(rows, pct), key=order)
