@@ -9,7 +9,7 @@
    dense regions reach as deep as they need. So a region yields a number of candidates in proportion to its size.
 3. Candidates that agree in at least AGREE minima of the tree are confirmed on the full sets of their texts, which meet
    in groups bounded in candidates and in shingles.
-4. Confirmed links make components (labels sink to the smallest, with pointer jumping, until nothing changes).
+4. Confirmed links make components: in rounds, nodes join their smallest neighbours, and links are rewritten to match.
 5. What a large region has not tried is settled exactly (see ``rest``): of the nodes in regions of more than LEAF nodes
    that hold several components, those survive whose shingles are, for the most part, also in other components; they
    fall into families by an exact prefix filter, rare shingles first; and within a family every node outside the
@@ -256,21 +256,26 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc_id: str
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: for every node of a link the smallest node it is connected with."""
-    edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
+    """node, label: for every node of a link the smallest node it is connected with. In each round every node joins its
+    smallest neighbour's smallest neighbour, and links are rewritten to link what has joined: they get fewer each time."""
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    labels = None
     while True:
-        sunk = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        sunk = labels.join(sunk, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        # of the labels, which many nodes may share, only those that have sunk themselves matter
-        jump = labels.where("node != label").select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jump = jump.join(sunk.select("label").distinct(), "label", "left_semi")
-        after = written(with_small(sunk, jump, ["label"]).select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        done = not after.where("was != label").take(1)
-        discard(labels)
-        labels = after.select("node", "label")
-        labels._scratch = after._scratch
-        if done:
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = written(near.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("to")), "low")
+        onward = low.where("node != to").select(F.col("node").alias("to"), F.col("to").alias("onward"))
+        to = written(with_small(low, onward, ["to"]).select("node", F.coalesce("onward", "to").alias("label")), "joined")
+        if labels is None:
+            after = to
+        else:
+            after = written(with_small(labels, to.select(F.col("node").alias("label"), F.col("label").alias("wider")), ["label"]).select("node", F.coalesce("wider", "label").alias("label")), "labels")
+        for end in ("a", "b"):
+            ends = with_small(edges if end == "a" else ends, to.select(F.col("node").alias(end), F.col("label").alias(f"{end}2")), [end])
+        left = ends.where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
+        left = written(left, "edges")
+        discard(edges, low, *([] if labels is None else [labels, to]))
+        edges, labels = left, after
+        if not edges.take(1):
             discard(edges)
             return labels
 

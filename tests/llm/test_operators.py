@@ -124,6 +124,22 @@ def test_no_link_is_lost_in_a_large_family(spark, n, changed, pct):
     assert {d: c for d, c in want.items() if got[d] != c} == {} and 1 < len(set(want.values()))
 
 
+def test_components_of_paths_stars_and_chance(spark):
+    rng = random.Random(2)
+    path = rng.sample(range(100), 100)
+    links = list(zip(path, path[1:])) + [(200 + i, 500) for i in range(60)] + [(600, 700 + i) for i in range(60)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(160)] + [(2000, 2000)]
+    union = near_dups._Union()
+    for a, b in links:
+        union.join(a, b)
+    low = {}
+    for x in {x for a, b in links if a != b for x in (a, b)}:
+        low.setdefault(union.root(x), []).append(x)
+    want = {x: min(xs) for xs in low.values() for x in xs}
+    got = near_dups.components(written(spark.createDataFrame(links, "a long, b long"), "links")).collect()
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+    assert near_dups.components(written(spark.createDataFrame([], "a long, b long"), "links")).collect() == []
+
+
 def test_block_counts_equal_intersections():
     rng = np.random.default_rng(3)
     for wide in (40, 4000):
