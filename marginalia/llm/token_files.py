@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import col, scratch, table, written
+from marginalia.llm.common import arrow_batches, col, scratch, table, written
 from marginalia.llm.pfor import BLOCK, Reader, Writer
 from marginalia.llm.pieces import Pieces, encode_words, text_slices
 from marginalia.llm.store import content, create, dealt
@@ -72,7 +72,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     key = ["doc_id", "__h"]
     rows = rows.withColumn("__h", F.xxhash64("text")).repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
-    files = written(rows.mapInArrow(_writer(folder, tokenizer, end_id, file_bytes), MANIFEST), "manifest")
+    with arrow_batches(docs.sparkSession, SLICE):
+        files = written(rows.mapInArrow(_writer(folder, tokenizer, end_id, file_bytes), MANIFEST), "manifest")
     # one row per file of many MB: the running sum is over a table far smaller than any index of the corpus
     order = Window.orderBy("part", "nth")
     return files.withColumn("before", F.sum("n_ids").over(order) - F.col("n_ids"))
