@@ -150,12 +150,18 @@ def _sql() -> str:
     return rf"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark),
-dp AS (SELECT id, w, unnest(range(0, len(w))) AS p FROM d), ip AS (SELECT id, w, unnest(range(0, len(w))) AS p FROM i WHERE len(w) >= {MIN_WORDS}),
+dp AS (SELECT id, w, unnest(range(0, len(w))) AS p FROM d), ip AS (SELECT id, w, unnest(range(0, len(w))) AS p FROM i),
 ds AS ({seeds("dp")}), ins AS ({seeds("ip")}),
-h AS (SELECT DISTINCT ds.id AS doc_id, ins.id AS item_id, ds.p AS p, ins.p AS q, ds.span, ds.w AS dw, ins.w AS iw FROM ds JOIN ins ON ds.mask = ins.mask AND ds.k = ins.k),
-r AS (SELECT *, greatest(q - {FLANK}, 0, q - p) AS lo, least(len(iw), q + span + {FLANK}, len(dw) - p + q) AS hi FROM h),
-c AS (SELECT doc_id, item_id, p - q + lo AS start, hi - lo AS length, (SELECT count(*) FROM (SELECT unnest(range(lo, hi)) AS x) WHERE dw[p - q + x + 1] = iw[x + 1]) AS matched FROM r),
-v AS (SELECT * FROM c WHERE length >= {MIN_WORDS} AND matched >= {MIN_SIMILARITY} * length)
+h AS (SELECT ds.id AS doc_id, ins.id AS item_id, ds.p AS p, ins.p AS q, ds.span, ds.w AS dw, ins.w AS iw FROM ds JOIN ins ON ds.mask = ins.mask AND ds.k = ins.k),
+r AS (SELECT *, least(len(iw), {MIN_WORDS}) AS need, greatest(q - {FLANK}, 0, q - p) AS lo, least(len(iw), q + span + {FLANK}, len(dw) - p + q) AS hi FROM h),
+c AS (SELECT DISTINCT doc_id, item_id, need, p - q + lo AS start, list_transform(range(lo, hi), lambda x: (dw[p - q + x + 1] = iw[x + 1])::INT) AS eq FROM r WHERE hi - lo >= need),
+m AS (SELECT *, list_sum(eq) AS matched, len(eq) AS length FROM c),
+a AS (SELECT *, unnest(range(0, length - need + 1)) AS first FROM m WHERE matched < {MIN_SIMILARITY} * length AND matched >= {MIN_SIMILARITY} * need),
+z AS (SELECT *, unnest(range(need, length - first + 1)) AS size FROM a),
+s AS (SELECT *, list_sum(eq[first + 1 : first + size]) AS m FROM z),
+b AS (SELECT doc_id, item_id, start, eq, need, arg_max({{'first': first, 'size': size, 'm': m}}, [m, -size, -first]) AS x FROM s WHERE m >= {MIN_SIMILARITY} * size GROUP BY ALL),
+v AS (SELECT doc_id, item_id, start, length, matched FROM m WHERE matched >= {MIN_SIMILARITY} * length
+  UNION ALL SELECT doc_id, item_id, start + x.first, x.size, x.m FROM b)
 SELECT doc_id, item_id, count(DISTINCT start) AS n_places, max(matched)::BIGINT AS matched, (arg_min(length, -matched * 1000 + length))::BIGINT AS length
 FROM v GROUP BY doc_id, item_id
 """

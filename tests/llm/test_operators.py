@@ -10,6 +10,7 @@ from itertools import combinations
 from pathlib import Path
 from urllib.parse import urlparse
 
+import duckdb
 import numpy as np
 import pytest
 from marginalia.llm import chat, common, decontaminate, host_rules, line_spread, mixing, near_dups, pseudonyms, warc
@@ -336,6 +337,10 @@ def test_decontamination_finds_parts_of_items(spark):
     assert {d: m for d, (_, *m) in got.items() if d >= 1300} == {100 * n + at: [n, n] for at, n in parts if n >= 13}
     assert got[1] == (5, 12, 14) and got[3] == (6, 10, 10) and not {2, 4} & set(got)
     assert not set(got) & {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()}
+    db = duckdb.connect()
+    for name, t in (("documents", df.toPandas()), ("benchmark", bench.toPandas())):
+        db.register(name, t)
+    assert set(db.sql(decontaminate.OP7_SQL).fetchall()) == {tuple(r) for r in decontaminate.contamination(df, bench).collect()}
 
 
 def test_line_spread(docs):
