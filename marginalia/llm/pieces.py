@@ -46,7 +46,8 @@ class Pieces(dict):
         self.path, self.ids, self.spell = path, ids, spell or spelled
         self.separator, self.separator_id = separator, tokenizer(path).token_to_id(separator)
         self.new: list = []
-        self.flat, self.sizes, self.starts = array("I"), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        # 32 bits are enough for what is bounded by MAX_HELD and the ids of one text
+        self.flat, self.sizes, self.starts = array("I"), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.held = 0
         self.update(zip(known[0], range(len(known[0]))))
         self.room()
@@ -81,8 +82,8 @@ class Pieces(dict):
     def at(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Where the ids of the pieces lie, one after the other."""
         ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[codes] - (ends - sizes), sizes)
-        at += np.arange(len(at))
+        at = np.repeat((self.starts[codes] - (ends - sizes)).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
         return at
 
     def resolve(self) -> None:
@@ -207,9 +208,12 @@ def encode_words(table: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens keep their case
         texts = pc.ascii_lower(texts)
     cuts = pc.ascii_split_whitespace(texts)
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(cuts).to_numpy(zero_copy_only=False))])
     own = cuts.flatten().cast(pa.binary()).dictionary_encode()
-    codes = table.codes(own.dictionary.to_numpy(zero_copy_only=False).tolist())
-    ids, sizes = table.gather(codes[own.indices.to_numpy(zero_copy_only=False)])
+    del texts, cuts
+    codes = table.codes(own.dictionary.to_numpy(zero_copy_only=False).tolist()).astype(np.int32)
+    codes = codes[own.indices.to_numpy(zero_copy_only=False)]
+    del own
+    ids, sizes = table.gather(codes)
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.concatenate([[0], np.cumsum(pc.list_value_length(cuts).to_numpy(zero_copy_only=False))])
     return ids, np.diff(ends[at])
