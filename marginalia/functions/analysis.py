@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.errors import SearchError
+from marginalia.functions.grouping import offsets, stems
 from marginalia.functions.stemming import stem
 
 WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -29,25 +30,17 @@ been being have has had having do does did doing a an the and but if or because
 against between into through during before after above below to from up down in out on off over under again further
 then once here there when where why how all any both each few more most other some such no nor not only own same so
 than too very s t can will just don should now""".split()
-_STEMS: dict[str, str] = {}
 
 
 def _stemmed(words: pa.Array) -> pa.Array:
     lists = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
     own = lists.flatten().dictionary_encode()
-    if len(_STEMS) > 500_000:
-        _STEMS.clear()
-    made = []
-    for w in own.dictionary.to_pylist():
-        if w not in _STEMS:
-            _STEMS[w] = stem(w)
-        made.append(_STEMS[w])
-    flat = pa.array(made, pa.string()).take(own.indices)
-    sizes = pa.array([0, *(len(x) if x is not None else 0 for x in lists)], pa.int64())
-    return pa.ListArray.from_arrays(pc.cumulative_sum(sizes).cast(pa.int32()), flat)
+    flat = pa.array(stems(own.dictionary.to_pylist()), pa.string()).take(own.indices)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(offsets(sizes).astype("int32")), flat)
 
 
-_stem_all = F.arrow_udf(_stemmed, T.ArrayType(T.StringType()))
+stemmed = F.arrow_udf(_stemmed, T.ArrayType(T.StringType()))
 
 
 @dataclass(frozen=True)
@@ -55,15 +48,20 @@ class Analyzer:
     stop_words: bool = True
     stemming: bool = True
 
-    def terms(self, text: Column) -> Column:
-        """Array of terms; the place of a term in it is its position. Null text: null."""
+    def words(self, text: Column) -> Column:
+        """terms() before stemming."""
         words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), lambda w: F.octet_length(w) <= MAX_TERM_BYTES)
         if self.stop_words:
             words = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+        return words
+
+    def terms(self, text: Column) -> Column:
+        """Array of terms; the place of a term in it is its position. Null text: null."""
+        words = self.words(text)
         if not self.stemming:
             return words
         # the UDF gets a list for every row, and its result is only used where there is a text
-        return F.when(text.isNotNull(), _stem_all(F.coalesce(words, F.array().cast("array<string>"))))
+        return F.when(text.isNotNull(), stemmed(F.coalesce(words, F.array().cast("array<string>"))))
 
     def of(self, text: str) -> list[str]:
         """terms() of one text, on the driver: for queries."""

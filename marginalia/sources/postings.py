@@ -2,7 +2,7 @@
 
 A source of postings has ``fields`` and an ``analyzer`` and gives
 
-  postings(terms)   term, field_id, doc_id, tf, dl, positions   of the terms asked for, or of all
+  postings(terms)   term, field_id, doc_id, tf, dl, positions   of the terms asked for (also by patterns), or of all
   lengths()         doc_id and an array of the fields' lengths   of every document
   vocabulary(head)  the distinct terms that start with head
   impacts(terms)    term, field_id, block, n, max_tf, min_dl     what bounds the scores of a block of documents
@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.errors import SearchError
-from marginalia.functions.analysis import Analyzer
+from marginalia.functions.analysis import Analyzer, stemmed
+from marginalia.functions.grouping import by_terms, shape
 
 MAX_FIELDS, MAX_TOKENS = 32, 65_535
 #: Version of segments this code writes; the oldest it reads; documents in a block of impacts.
@@ -49,17 +50,12 @@ def key_type_of(df: DataFrame, doc_id: str) -> str:
     raise SearchError(f'"{doc_id}" of type {kind} is no key: whole numbers and text are', "42804")
 
 
-def _grouped(terms: Column) -> Column:
-    """Array of terms to array of struct(term, positions), in the row and in time in proportion to sorting it."""
-
-    def runs(s: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i]["term"] != F.get(s, i - 1)["term"]))
-        made = lambda f: F.transform(f, lambda a, k: F.struct(s[a]["term"].alias("term"), F.slice(s, a + 1, F.coalesce(F.get(f, k + 1), F.size(s)) - a)["pos"].alias("positions")))
-        return F.transform(F.array(first), made)[0]
-
-    ordered = F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.cast("int").alias("pos"))))
-    none = F.array().cast("array<struct<term:string,positions:array<int>>>")
-    return F.when(F.size(terms) > 0, F.transform(F.array(ordered), runs)[0]).otherwise(none)
+def chosen(term: Column, terms: list[str], patterns: tuple[str, ...] = ()) -> Column:
+    """Whether a term is one of those asked for or matches a pattern with *."""
+    out = term.isin(list(dict.fromkeys(terms))) if terms else F.lit(False)
+    for x in patterns:
+        out = out | term.startswith(x.split("*")[0]) & term.rlike(shape(x, r"\z"))
+    return out
 
 
 class Postings:
@@ -72,9 +68,12 @@ class Postings:
     #: Whether impacts() counts live documents alone.
     counts_live: bool = True
 
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
+    def postings(self, terms: list[str] | None = None, patterns: tuple[str, ...] = ()) -> DataFrame:
         raise NotImplementedError
 
+    def prefetch(self, terms: list[str], patterns: tuple[str, ...] = ()) -> None:
+        """Say what several calls of postings() will ask for."""
+
     def lengths(self) -> DataFrame:
         raise NotImplementedError
 
@@ -123,47 +122,68 @@ class Scan(Postings):
             df = df.select(doc_id, *dict.fromkeys(f for f in fields if f != doc_id)).repartition(cores)
         self.docs = df.where(some).select(F.col(doc_id).cast(self.key_type).alias("doc_id"), *[F.col(f).alias(f"__f{i}") for i, f in enumerate(fields)])
 
-    def _terms(self) -> DataFrame:
-        """doc_id and an array of the fields' term arrays."""
+        self._kept: list[tuple[set[str], set[str], str]] = []
+
+    def _texts(self) -> DataFrame:
+        """doc_id, block and an array of the fields' arrays of words, which are not stemmed yet."""
         empty = F.array().cast("array<string>")
-        return self.docs.select("doc_id", F.array(*[F.coalesce(self.analyzer.terms(F.col(f"__f{i}")), empty) for i in range(len(self.fields))]).alias("ts"))
+        words = F.array(*[F.coalesce(self.analyzer.words(F.col(f"__f{i}")), empty) for i in range(len(self.fields))])
+        return self.docs.select("doc_id", F.floor(F.monotonically_increasing_id() / BLOCK).alias("block"), words.alias("ts"))
 
     def vocabulary(self, head: str = "") -> DataFrame:
-        return self._terms().select(F.explode(F.flatten("ts")).alias("term")).where(F.col("term").startswith(head)).distinct()
+        words = self._texts().select(F.explode(F.flatten("ts")).alias("term"))
+        if self.analyzer.stemming:
+            words = words.distinct().select(stemmed(F.array("term"))[0].alias("term"))
+        return words.where(F.col("term").startswith(head)).distinct()
 
     def lengths(self) -> DataFrame:
-        return self._terms().select("doc_id", F.transform("ts", F.size).alias("dls"))
-
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
-        rows = self._terms().select("doc_id", F.posexplode("ts").alias("field_id", "t"))
+        if self._kept:
+            return self._read(self._kept[0][2]).select("doc_id", "dls")
+        return self._texts().select("doc_id", F.transform("ts", F.size).alias("dls"))
+
+    def _read(self, path: str) -> DataFrame:
+        return self.docs.sparkSession.read.schema(forward_schema(self.key_type)).parquet(path)
+
+    def _narrow(self, terms: list[str], patterns: tuple[str, ...]) -> DataFrame:
+        made = by_terms(len(self.fields), self.analyzer.stemming, True, False, list(terms), tuple(patterns))
+        return self._texts().mapInArrow(made, forward_schema(self.key_type))
+
+    def prefetch(self, terms: list[str], patterns: tuple[str, ...] = ()) -> None:
+        """One pass over the texts for all that a query reads: lengths and the postings of its terms go to the scratch
+        folder. Without one the texts are passed over each time."""
+        if any(set(terms) <= t and set(patterns) <= p for t, p, _ in self._kept):
+            return
+        try:
+            path = folder_for(self.docs.sparkSession, "scan")
+        except SearchError:
+            return
+        self._narrow(terms, patterns).write.parquet(path)
+        self._kept.append((set(terms), set(patterns), path))
+
+    def postings(self, terms: list[str] | None = None, patterns: tuple[str, ...] = ()) -> DataFrame:
         if terms is None:
-            out = rows.select("doc_id", "field_id", F.size("t").alias("dl"), F.explode(_grouped(F.col("t"))).alias("p")).select("*", "p.*").withColumn("tf", F.size("positions"))
-        else:
-            wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)]).cast("array<string>")
-            rows = rows.where(F.arrays_overlap("t", wanted)) if terms else rows.limit(0)
-            rows = rows.select("doc_id", "field_id", "t", F.size("t").alias("dl"), F.explode(F.array_intersect("t", wanted)).alias("term"))
-            at = F.filter(F.transform("t", lambda x, i: F.when(x == F.col("term"), i)), lambda x: x.isNotNull())
-            out = rows.withColumn("positions", at).withColumn("tf", F.size("positions"))
-        return out.select(*POSTING)
+            made = by_terms(len(self.fields), self.analyzer.stemming, True, True)
+            return self._texts().mapInArrow(made, postings_schema(self.key_type)).select(*POSTING)
+        self.prefetch(terms, patterns)
+        path = next((at for t, p, at in self._kept if set(terms) <= t and set(patterns) <= p), None)
+        rows = self._narrow(terms, patterns) if path is None else self._read(path)
+        return inverted(rows, True, terms, patterns).select(*POSTING)
 
     def forward(self) -> DataFrame:
         """A row a document with all it takes to index it: doc_id, dls, block and its postings by field."""
-        rows = self._terms().select("doc_id", F.transform("ts", F.size).alias("dls"), F.floor(F.monotonically_increasing_id() / BLOCK).alias("block"), F.transform("ts", _grouped).alias("ps"))
-        if not self.store_positions:
-            rows = rows.withColumn("ps", F.transform("ps", lambda f: F.transform(f, lambda p: F.struct(p["term"].alias("term"), F.transform(p["positions"], lambda _: F.lit(0)).alias("positions")))))
-        return rows
+        made = by_terms(len(self.fields), self.analyzer.stemming, self.store_positions, False)
+        return self._texts().mapInArrow(made, forward_schema(self.key_type))
 
 
 def forward_schema(key_type: str) -> str:
     return f"doc_id {key_type}, dls array<int>, block long, ps array<array<struct<term:string,positions:array<int>>>>"
 
 
-def inverted(forward: DataFrame, store_positions: bool, terms: list[str] | None = None) -> DataFrame:
+def inverted(rows: DataFrame, store_positions: bool, terms: list[str] | None = None, patterns: tuple[str, ...] = ()) -> DataFrame:
     """The postings in rows of forward(), with their block."""
-    rows = forward.select("doc_id", "dls", "block", F.posexplode("ps").alias("field_id", "p"))
+    rows = rows.select("doc_id", "dls", "block", F.posexplode("ps").alias("field_id", "p"))
     if terms is not None:
-        wanted = [t for t in dict.fromkeys(terms)]
-        rows = rows.withColumn("p", F.filter("p", lambda x: x["term"].isin(wanted) if wanted else F.lit(False)))
+        rows = rows.withColumn("p", F.filter("p", lambda x: chosen(x["term"], terms, patterns)))
     rows = rows.select("doc_id", "field_id", "block", F.col("dls")[F.col("field_id")].alias("dl"), F.explode("p").alias("p"))
     positions = F.col("p.positions") if store_positions else F.lit(None).cast("array<int>")
     return rows.select(F.col("p.term").alias("term"), "field_id", "doc_id", F.size("p.positions").alias("tf"), "dl", positions.alias("positions"), "block")
@@ -312,13 +332,15 @@ class Index(Postings):
             found.append(rows if gone is None or "doc_id" not in rows.columns else rows.join(gone, "doc_id", "left_anti"))
         return reduce(DataFrame.unionByName, found)
 
-    def _all_postings(self, terms: list[str] | None, where: Column | None = None) -> DataFrame:
-        where = where if terms is None else F.col("term").isin(list(terms)) if where is None else where & F.col("term").isin(list(terms))
-        rows = self._live("postings", postings_schema(self.key_type), where, lambda f: inverted(f, self.store_positions, terms))
+    def _all_postings(self, terms: list[str] | None, where: Column | None = None, patterns: tuple[str, ...] = ()) -> DataFrame:
+        if terms is not None:
+            some = chosen(F.col("term"), terms, patterns)
+            where = some if where is None else where & some
+        rows = self._live("postings", postings_schema(self.key_type), where, lambda f: inverted(f, self.store_positions, terms, patterns))
         return rows.select(*POSTING, "block")
 
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
-        return self._all_postings(terms).select(*POSTING)
+    def postings(self, terms: list[str] | None = None, patterns: tuple[str, ...] = ()) -> DataFrame:
+        return self._all_postings(terms, None, patterns).select(*POSTING)
 
     def vocabulary(self, head: str = "") -> DataFrame:
         rows = self._live("postings", postings_schema(self.key_type), F.col("term").startswith(head), lambda f: inverted(f, self.store_positions).where(F.col("term").startswith(head)))
