@@ -8,7 +8,6 @@ take part.
 
 from __future__ import annotations
 
-import re
 import warnings
 from dataclasses import dataclass, field
 from functools import reduce
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from marginalia.errors import SearchError
 from marginalia.functions.scoring import idf, term_score
 from marginalia.plans import query as Q
-from marginalia.sources.postings import Postings
+from marginalia.sources.postings import Postings, chosen
 
 MAX_PHRASE = 64
 
@@ -34,7 +33,8 @@ class Ranking:
     k1_of: dict[str, float] = field(default_factory=dict)
     b_of: dict[str, float] = field(default_factory=dict)
     phrase_fallback: str = "error"
-    max_expansions: int = Q.MAX_EXPANSIONS
+    #: More terms than this that match a wildcard are an error; None: all of them take part.
+    max_expansions: int | None = None
 
     def __post_init__(self):
         for v in (self.k1, *self.k1_of.values()):
@@ -65,8 +65,7 @@ def _how(source: Postings, how: Ranking | None) -> Ranking:
 def expand(source: Postings, pattern: str, limit: int = Q.MAX_EXPANSIONS) -> list[str]:
     """Terms of the dictionary that a pattern with * matches; more than limit are an error."""
     head, *_ = pattern.split("*")
-    shape = "(?s)^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$"
-    rows = source.vocabulary(head).where(F.col("term").rlike(shape)).limit(limit + 1).collect()
+    rows = source.vocabulary(head).where(chosen(F.col("term"), [], (pattern,))).limit(limit + 1).collect()
     if len(rows) > limit:
         raise SearchError(f"wildcard pattern matches more than {limit} terms", "54000")
     return sorted(r.term for r in rows)
@@ -76,7 +75,8 @@ def resolved(source: Postings, tree, how: Ranking) -> list[Q.Bit]:
     bits = Q.flatten(tree)
     for x in bits:
         if x.leaf.kind == "wildcard":
-            x.terms = expand(source, x.leaf.text, how.max_expansions)
+            if how.max_expansions is not None:
+                expand(source, x.leaf.text, how.max_expansions)
             continue
         x.terms = source.analyzer.of(x.leaf.text)
         if x.leaf.kind == "term" and len(x.terms) > 1:
@@ -138,15 +138,50 @@ def _value(tf: str = "tf", dl: str = "dl") -> Column:
     return term_score(F.col("weight"), F.col(tf), F.col(dl), F.col("average"), F.col("k1"), F.col("b"))
 
 
+def _asked(bits: list[Q.Bit]) -> tuple[list[str], tuple[str, ...]]:
+    """The terms and the wildcard patterns of a query."""
+    return list(dict.fromkeys(t for x in bits for t in x.terms)), tuple(dict.fromkeys(x.leaf.text for x in bits if x.leaf.kind == "wildcard"))
+
+
+def _prefetch(source: Postings, *queries) -> None:
+    """What several queries read comes in one pass."""
+    if len(queries) < 2:
+        return
+    bits = [x for q in queries for x in Q.flatten(Q.parse(q, source.fields))]
+    for x in bits:
+        x.terms = [] if x.leaf.kind == "wildcard" else source.analyzer.of(x.leaf.text)
+    source.prefetch(*_asked(bits))
+
+
+def _wide(source: Postings, bits: list[Q.Bit], found: DataFrame, how: Ranking | None) -> DataFrame | None:
+    """The table of weights of the terms that wildcards match, be they as many as they may; without how, of the terms
+    alone."""
+    bits = [x for x in bits if x.leaf.kind == "wildcard"]
+    if not bits:
+        return None
+    matched = F.filter(F.array(*[F.when(chosen(F.col("term"), [], (x.leaf.text,)) & (F.lit(True) if x.leaf.field is None else F.col("field_id") == source.fields.index(x.leaf.field)), F.struct(F.lit(x.bit).alias("bit"), F.lit(x.flag).cast("long").alias("flag"), F.lit(0.0 if x.negated else float(x.boost)).alias("by"))) for x in bits]), lambda x: x.isNotNull())
+    terms = found.groupBy("term", "field_id").agg(F.count(F.lit(1)).alias("df")).select(F.col("term").alias("w_term"), F.col("field_id").alias("w_field"), "df", F.inline(matched))
+    if how is None:
+        return terms.select("w_term", "w_field", "bit", "flag")
+    of = lambda values: F.array(*[F.lit(float(v)) for v in values])[F.col("w_field")]
+    n_docs = of(n for n, _ in source.field_stats)
+    df = F.least("df", n_docs)
+    weight = F.col("by") * of(how.boosts.get(name, 1.0) for name in source.fields) * F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    return terms.select("bit", "w_term", "w_field", weight.alias("weight"), of(a for _, a in source.field_stats).alias("average"), of(how.k1_of.get(name, how.k1) for name in source.fields).alias("k1"), of(how.b_of.get(name, how.b) for name in source.fields).alias("b"), "flag")
+
+
 def _nothing(source: Postings, more: str = "") -> DataFrame:
     return SparkSession.active().createDataFrame([], f"doc_id {source.key_type}{more}")
 
 
-def _evaluated(source: Postings, tree, bits: list[Q.Bit], found: DataFrame, table: DataFrame, score: Column | None) -> DataFrame:
-    """Documents whose hits fulfil the tree, with their score if asked for. table: w_term, w_field, bit and flag."""
+def _evaluated(source: Postings, tree, bits: list[Q.Bit], found: DataFrame, table: DataFrame, wide: DataFrame | None, score: Column | None) -> DataFrame:
+    """Documents whose hits fulfil the tree, with their score if asked for. table: w_term, w_field, bit and flag of the
+    terms asked for; those of wildcards, which have no bound, come by a join of their own."""
     phrases = [x for x in bits if x.leaf.kind == "phrase" and len(x.terms) > 1]
     exact = [x for x in phrases if source.store_positions]
-    hits = (found if exact else found.drop("positions")).join(F.broadcast(table), _on())
+    kept = found if exact else found.drop("positions")
+    hits = [kept.join(F.broadcast(table), _on())] * any(x.terms for x in bits) + [kept.join(t, _on()) for t in [wide] if t is not None]
+    hits = reduce(DataFrame.unionByName, hits)
     # words of a phrase without positions must all be there
     more = [F.count_distinct(F.when(F.col("bit") == x.bit, F.col("term"))).alias(f"n{x.bit}") for x in phrases if x not in exact]
     where = {(t, f): f"p{i}" for i, (t, f) in enumerate(dict.fromkeys((t, f) for x in exact for t in x.terms for f in range(len(source.fields)) if x.leaf.field in (None, source.fields[f])))}
@@ -174,32 +209,32 @@ def ranked(source: Postings, query, how: Ranking | None = None) -> DataFrame:
     how = _how(source, how)
     tree = Q.parse(query, source.fields)
     bits = resolved(source, tree, how)
-    terms = list(dict.fromkeys(t for x in bits for t in x.terms))
-    if not terms:
+    terms, patterns = _asked(bits)
+    if not terms and not patterns:
         return _nothing(source, ", score double")
-    found = source.postings(terms)
+    found = source.postings(terms, patterns)
     flags = {x.bit: x.flag for x in bits}
-    rows = _weights(source, [(x.bit, t, x.leaf.field, 0.0 if x.negated else x.boost) for x in bits for t in x.terms], found, how)
-    if not rows:
+    rows = _weights(source, [(x.bit, t, x.leaf.field, 0.0 if x.negated else x.boost) for x in bits for t in x.terms], found, how) if terms else []
+    if not rows and not patterns:
         return _nothing(source, ", score double")
     table = found.sparkSession.createDataFrame([(*r, flags[r[0]]) for r in rows], f"bit int, {WEIGHTS}, flag long")
     negated = [x.bit for x in bits if x.negated]
-    return _evaluated(source, tree, bits, found, table, F.sum(F.when(~F.col("bit").isin(negated), _value()) if negated else _value()))
+    return _evaluated(source, tree, bits, found, table, _wide(source, bits, found, how), F.sum(F.when(~F.col("bit").isin(negated), _value()) if negated else _value()))
 
 
 def _matched(source: Postings, query) -> DataFrame:
     """Ids of the documents that match one query: no statistics are read and nothing is scored."""
     tree = Q.parse(query, source.fields)
     bits = resolved(source, tree, Ranking(**source.options))
-    terms = list(dict.fromkeys(t for x in bits for t in x.terms))
-    if not terms:
+    terms, patterns = _asked(bits)
+    if not terms and not patterns:
         return _nothing(source)
-    found = source.postings(terms)
+    found = source.postings(terms, patterns)
     if isinstance(tree, Q.Leaf) and (tree.kind != "phrase" or len(bits[0].terms) < 2):
         rows = found if tree.field is None else found.where(F.col("field_id") == source.fields.index(tree.field))
         return rows.select("doc_id").distinct()
     rows = [(t, f, x.bit, x.flag) for x in bits for t in x.terms for f, name in enumerate(source.fields) if x.leaf.field in (None, name)]
-    return _evaluated(source, tree, bits, found, found.sparkSession.createDataFrame(rows, "w_term string, w_field int, bit int, flag long"), None)
+    return _evaluated(source, tree, bits, found, found.sparkSession.createDataFrame(rows, "w_term string, w_field int, bit int, flag long"), _wide(source, bits, found, None), None)
 
 
 def matching(source: Postings, *queries) -> DataFrame:
@@ -224,6 +259,7 @@ def search(source: Postings, order_by, where=None, limit: int | None = None, off
     continues behind a score (null for those without) and id already shown."""
     filters = [] if where is None else list(where) if isinstance(where, (list, tuple)) else [where]
     same = filters == [order_by]
+    _prefetch(source, *[q for q in (order_by, *filters) if q is not None])
     rows = ranked(source, order_by, how) if order_by is not None else None
     if filters and not same:
         kept = matching(source, *filters)
@@ -273,6 +309,7 @@ def batch(source: Postings, queries: dict[int, str], k: int, how: Ranking | None
     how = _how(source, how)
     trees = {qid: Q.parse(q, source.fields) for qid, q in queries.items()}
     words = {qid: t for qid, t in trees.items() if isinstance(t, Q.Leaf) and t.kind == "match"}
+    _prefetch(source, *trees.values())
     entries = [(qid, t, leaf.field, 1.0) for qid, leaf in words.items() for t in source.analyzer.of(leaf.text)]
     parts = [ranked(source, t, how).select(F.lit(qid).cast("long").alias("qid"), "doc_id", "score") for qid, t in trees.items() if qid not in words]
     if entries:
