@@ -316,6 +316,24 @@ class Index(Postings):
         names = [d["name"] for d in self.meta["deletes"] if d["at"] > born]
         return self.spark.read.schema(f"doc_id {self.key_type}").parquet(*[f"{self.path}/{d}" for d in names]) if names else None
 
+    def _without(self, rows: DataFrame, born: int) -> DataFrame:
+        """Rows without those of documents that a deletion later than born hides. Whole numbers that were deleted are
+        kept as bits of 64 together, so that many fit a broadcast; more are joined as they are."""
+        gone = self._gone(born)
+        if gone is None:
+            return rows
+        if self.key_type == "long":
+            bits = gone.groupBy(F.shiftright("doc_id", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(doc_id & 63 AS int))")).alias("__bits"))
+            key = tuple(d["name"] for d in self.meta["deletes"] if d["at"] > born)
+            counts = self.__dict__.setdefault("_bit_rows", {})
+            if key not in counts:
+                counts[key] = bits.count()
+            if counts[key] <= BROADCAST_BITS:
+                on = rows.withColumn("__word", F.shiftright("doc_id", 6)).join(F.broadcast(bits), "__word", "left")
+                dead = F.expr("coalesce(shiftright(__bits, cast(doc_id & 63 AS int)) & 1L, 0L) = 1L")
+                return on.where(~dead).select(*rows.columns)
+        return rows.join(gone, "doc_id", "left_anti")
+
     def _live(self, part: str, schema: str, where: Column | None, pending) -> DataFrame:
         """Rows of all segments and of what is pending, without those that a later deletion or a later version of the
         document hides. pending: what to make of rows of forward()."""
@@ -323,13 +341,13 @@ class Index(Postings):
         for s in self.meta["segments"]:
             rows = self.spark.read.schema(schema).parquet(f"{self.path}/{s['name']}/{part}")
             out.append((s, rows if where is None else rows.where(where)))
-        out += [(s, pending(self._forwards([s["name"]]))) for s in self.meta["pending"]]
+        # of what is pending, documents are left out before they are taken apart
+        out += [(s, pending(self._without(self._forwards([s["name"]]), s["born"]))) for s in self.meta["pending"]]
         found = []
-        for s, rows in out:
+        for k, (s, rows) in enumerate(out):
             if "block long" in schema:  # blocks count from the start in each segment
                 rows = rows.withColumn("block", F.struct(F.lit(s["name"]).alias("segment"), "block"))
-            gone = self._gone(s["born"])
-            found.append(rows if gone is None or "doc_id" not in rows.columns else rows.join(gone, "doc_id", "left_anti"))
+            found.append(self._without(rows, s["born"]) if k < len(self.meta["segments"]) and "doc_id" in rows.columns else rows)
         return reduce(DataFrame.unionByName, found)
 
     def _all_postings(self, terms: list[str] | None, where: Column | None = None, patterns: tuple[str, ...] = ()) -> DataFrame:
@@ -409,7 +427,7 @@ class Index(Postings):
     def merge(self, force: bool = False) -> int:
         """Rewrite the segments that the policy picks (force: all) as one, without dead documents; returns how many."""
         counts = {s["name"]: s["n_docs"] for s in self.meta["segments"]}
-        dead = {s["name"]: s["n_docs"] - self._of([s]).lengths().count() for s in self.meta["segments"]} if self.meta["deletes"] else {}
+        dead = {s["name"]: s["n_docs"] - self._of([s]).lengths().count() for s in self.meta["segments"]} if self.meta["deletes"] and not force else {}
         picked = list(counts) if force else pick(counts, dead, self.FAN_OUT, self.MAX_SEGMENTS, self.MAX_INPUTS, self.DEAD_PCT)
         return self._rewrite(picked)
 
@@ -487,6 +505,8 @@ class Index(Postings):
         return rows if rows is not None else self.spark.createDataFrame([], "segment string, n_docs long, n_live long, total_len long, n_postings long, n_terms long")
 
 
+#: Rows of 64 deleted ids each that are broadcast, about 40 MB.
+BROADCAST_BITS = 500_000
 #: Blocks that are named in the filter of a scan; more are joined.
 MANY_BLOCKS = 2_000
 
